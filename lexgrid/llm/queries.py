@@ -11,6 +11,19 @@ from lexgrid.llm.shared import LOWER, UPPER, table, word_count, written
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrid.llm.token_output import read_tokens, write_tokens
+
+    read = read_tokens(write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrid.llm.packing import pack, pieces
+
+    return pack(pieces(table(spark, sf_dir, "documents")))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexgrid.llm.url_filter import filter_urls
 
@@ -56,5 +69,5 @@ placed as (select d.doc_id, d.size, b.source_size, b.target, b.epochs, b.budget
 select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - start)))::bigint as taken from placed
 """
 
-QUERIES = {"op5_url_filter": op5_url_filter, "op6_mix_sources": op6_mix_sources}
+QUERIES = {"op1_token_output": op1_token_output, "op4_best_fit_packing": op4_best_fit_packing, "op5_url_filter": op5_url_filter, "op6_mix_sources": op6_mix_sources}
 SQL = {"op5_url_filter": OP5_SQL, "op6_mix_sources": OP6_SQL}

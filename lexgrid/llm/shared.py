@@ -32,6 +32,32 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/lexgrid/{uuid.uuid4().hex}/{name}"
 
 
+def uri(spark: SparkSession, path: str) -> str:
+    """path with its scheme, as Spark would resolve it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return full if "://" in full else full.replace(":/", ":///", 1)
+
+
+def open_folder(path: str):
+    """(file system, path in it) of a URI; on the local file system the folder, or that of a file, is made."""
+    import os
+
+    from pyarrow import fs
+
+    files, at = fs.FileSystem.from_uri(path)
+    if isinstance(files, fs.LocalFileSystem):
+        os.makedirs(at if "." not in at.rpartition("/")[2] else os.path.dirname(at), exist_ok=True)
+    else:
+        files.create_dir(at, recursive=True) if "." not in at.rpartition("/")[2] else None
+    return files, at
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts can be long: batches for Python hold few rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read again: work is done once and lost executors cost only a read."""
     spark, schema = df.sparkSession, df.schema
