@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lexgrid.llm.encoding import default_vocabulary, encoder
-from lexgrid.llm.shared import small_batches, written
+from lexgrid.llm.shared import for_python, written
 
 #: Rows of a plan up to which it is broadcast (40 bytes each).
 BROADCAST_ROWS = 200_000
@@ -135,7 +135,7 @@ def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocab
 
     A null text is an empty one; each document ends with the id `end`. Only longer documents are cut, from the back, so that the first piece takes what is over. Repeated rows are documents of their own; other columns are not read.
     """
-    small_batches(docs.sparkSession)
+    for_python(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
 

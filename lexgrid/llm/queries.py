@@ -69,5 +69,23 @@ placed as (select d.doc_id, d.size, b.source_size, b.target, b.epochs, b.budget
 select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - start)))::bigint as taken from placed
 """
 
-QUERIES = {"op1_token_output": op1_token_output, "op4_best_fit_packing": op4_best_fit_packing, "op5_url_filter": op5_url_filter, "op6_mix_sources": op6_mix_sources}
-SQL = {"op5_url_filter": OP5_SQL, "op6_mix_sources": OP6_SQL}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrid.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("line_total").alias("n_lines"), F.col("line_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+#: Blanks as DuckDB SQL.
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+OP10_SQL = f"""
+with lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as n from documents),
+keyed as (select *, translate(trim(line, {_BLANKS}), '{UPPER}', '{LOWER}') as k from lines),
+holders as (select k, max(doc_id) as holder from keyed where length(k) >= 20 group by k having count(distinct doc_id) >= 3),
+marked as (select doc_id, line, n, holder is not null and doc_id <> holder as gone from keyed left join holders using (k))
+select doc_id, count(*) as n_lines, count(*) filter (gone)::bigint as n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by n) filter (not gone), '')) as kept_sha256 from marked group by doc_id
+"""
+
+QUERIES = {"op1_token_output": op1_token_output, "op4_best_fit_packing": op4_best_fit_packing, "op5_url_filter": op5_url_filter, "op6_mix_sources": op6_mix_sources, "op10_line_dedup": op10_line_dedup}
+SQL = {"op5_url_filter": OP5_SQL, "op6_mix_sources": OP6_SQL, "op10_line_dedup": OP10_SQL}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,9 +55,20 @@ def open_folder(path: str):
     return files, at
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long: batches for Python hold few rows."""
+_shipped: set[str] = set()
+
+
+def for_python(spark: SparkSession, rows: int = 1000) -> None:
+    """Before Python runs on executors: they get this package, and batches of few rows, for texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    if (app := spark.sparkContext.applicationId) not in _shipped:
+        top = Path(__file__).resolve().parents[1]
+        made = Path(tempfile.mkdtemp(prefix="lexgrid-code-")) / "lexgrid_code.zip"
+        with zipfile.ZipFile(made, "w") as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        spark.sparkContext.addPyFile(str(made))
+        _shipped.add(app)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -79,7 +92,7 @@ def lower_az(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def with_text(docs: DataFrame, text: Column) -> DataFrame:
+def with_text(docs: DataFrame, new: Column, text: str = "text") -> DataFrame:
     """docs with another text, and n_chars to match where that column exists; no other column changes."""
-    swap = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    swap = {text: new} | ({"n_chars": F.length(new).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return docs.select(*[swap[c].alias(c) if c in swap else F.col(f"`{c}`") for c in docs.columns])

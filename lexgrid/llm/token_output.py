@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexgrid.llm.encoding import default_vocabulary, encoder
-from lexgrid.llm.shared import fresh_path, open_folder, small_batches, uri, written
+from lexgrid.llm.shared import fresh_path, open_folder, for_python, uri, written
 from lexgrid.llm.token_file import Reader, Writer
 
 MANIFEST = "shard long, path string, docs long, tokens long"
@@ -25,7 +25,7 @@ def write_tokens(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     A task writes a file of its own name and only then its row of the manifest: a file that no row names is the rest of a lost attempt and is never read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    for_python(spark)
     vocabulary, folder = vocabulary or default_vocabulary(), uri(spark, folder or fresh_path(spark, "tokens"))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
