@@ -18,6 +18,15 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrid.llm.quality_model import HELD_OUT, THRESHOLD, fold, learn, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    held = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexgrid.llm.packing import pack, pieces
 
@@ -69,6 +78,12 @@ placed as (select d.doc_id, d.size, b.source_size, b.target, b.epochs, b.budget
 select doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - start)))::bigint as taken from placed
 """
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrid.llm.quality_rules import judge
+
+    return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality.*")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexgrid.llm.line_dedup import dedup_lines
 
@@ -87,5 +102,5 @@ select doc_id, count(*) as n_lines, count(*) filter (gone)::bigint as n_dropped,
     sha256(coalesce(string_agg(line, chr(10) order by n) filter (not gone), '')) as kept_sha256 from marked group by doc_id
 """
 
-QUERIES = {"op1_token_output": op1_token_output, "op4_best_fit_packing": op4_best_fit_packing, "op5_url_filter": op5_url_filter, "op6_mix_sources": op6_mix_sources, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_token_output": op1_token_output, "op3_quality_model": op3_quality_model, "op4_best_fit_packing": op4_best_fit_packing, "op5_url_filter": op5_url_filter, "op6_mix_sources": op6_mix_sources, "op7_quality_rules": op7_quality_rules, "op10_line_dedup": op10_line_dedup}
 SQL = {"op5_url_filter": OP5_SQL, "op6_mix_sources": OP6_SQL, "op10_line_dedup": OP10_SQL}
