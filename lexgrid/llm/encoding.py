@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import os
-import re
+from array import array
 
-#: Words kept at most in a worker's memory, and the longest kept; beyond that the memory is emptied, or the word encoded anew.
-MOST_WORDS, LONGEST_WORD = 300_000, 48
-#: A space after something that isn't white space.
-BREAK = re.compile(r"(?<=\S) ")
+import numpy as np
+
+#: Words kept at most in a worker's memory (about 140 MB), and the longest kept; beyond that the memory is emptied, or the word encoded anew.
+MOST_WORDS, LONGEST_WORD = 700_000, 48
+#: Stands for a line's end at the start of a word; a text that holds it is encoded whole.
+LINE = "\x03"
 
 _loaded: dict = {}
 
@@ -17,7 +19,7 @@ _loaded: dict = {}
 class Encoder:
     """Texts to ids by the tokenizers library, as bytes: little-endian unsigned 32-bit integers.
 
-    A byte-level vocabulary without a normalizer never joins what stands before a space with the space, unless white space precedes it; so each text is cut there and each distinct cut is encoded once. Any other vocabulary encodes whole texts.
+    A byte-level vocabulary without a normalizer splits a text, before it merges bytes, in front of each single space or line end that stands between two characters which aren't white space; a line end there is a split of its own. So such a text is cut into words, and each distinct word encoded once: all new words of a text in one call, joined by line ends, whose id then tells where to cut. Texts with other white space, and all texts of other vocabularies, are encoded whole.
     Special tokens' strings in a text are ordinary text.
     """
 
@@ -34,32 +36,43 @@ class Encoder:
         before = made.get("pre_tokenizer") or {}
         self.by_word = made.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.size = self.tokenizer.get_vocab_size()
+        self.line = self.whole("\n")
+        self.by_word &= len(self.line) == 4
         self.words: dict[str, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def joined(self, words: list[str], before: str) -> list[bytes] | None:
+        """Ids of each word, which `before` precedes; None if the line end's id isn't only between them."""
+        raw = self.whole("\n".join([before + w for w in words]))
+        ids = np.frombuffer(raw, "<u4")
+        ends = (4 * np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])).tolist()
+        if len(ends) != len(words) - 1:
+            return None
+        return [raw[a:b] for a, b in zip([0, *[x + 4 for x in ends]], [*ends, len(raw)], strict=True)]
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or " " not in text:
-            return self.whole([text])[0]
-        head, *words = text.split(" ")
         known = self.words
+        if not self.by_word or LINE in text or not text:
+            return self.whole(text)
+        words = (LINE + text.replace("\n", " " + LINE)).split(" ")
         new = [w for w in set(words) if w not in known]
-        if not head or head[-1].isspace() or any(not w or w[-1].isspace() for w in new):
-            head, *words = BREAK.split(text)
-            new = [w for w in set(words) if w not in known]
-        extra = {}
+        extra: dict[str, bytes] = {}
         if new:
+            if "\n".join(new).split() != new or LINE in new:
+                return self.whole(text)
             if len(known) + len(new) > MOST_WORDS:
                 known.clear()
                 new = list(set(words))
-            for w, ids in zip(new, self.whole([f" {w}" for w in new]), strict=True):
-                (known if len(w) <= LONGEST_WORD and w and not w[-1].isspace() else extra)[w] = ids
-        if extra:
-            return self.whole([head])[0] + b"".join([known[w] if w in known else extra[w] for w in words])
-        return self.whole([head])[0] + b"".join([known[w] for w in words])
+            for some, before in (([w for w in new if w[0] != LINE], " "), ([w for w in new if w[0] == LINE], "")):
+                if some:
+                    got = self.joined([w.removeprefix(LINE) for w in some], before)
+                    if got is None:
+                        return self.whole(text)
+                    for w, ids in zip(some, got, strict=True):
+                        (known if len(w) <= LONGEST_WORD else extra)[w] = ids if before else self.line + ids
+        return b"".join([known[w] if w in known else extra[w] for w in words] if extra else [known[w] for w in words])[4:]
 
 
 def encoder(path: str) -> Encoder:
