@@ -84,6 +84,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality.*")
 
 
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrid.llm.exact_topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP9_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024.0::double * x::double)::bigint) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
+    from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(c.v) = len(q.v)),
+ranked as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from pairs)
+select * from ranked where rank <= 10
+"""
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexgrid.llm.line_dedup import dedup_lines
 
@@ -102,5 +118,5 @@ select doc_id, count(*) as n_lines, count(*) filter (gone)::bigint as n_dropped,
     sha256(coalesce(string_agg(line, chr(10) order by n) filter (not gone), '')) as kept_sha256 from marked group by doc_id
 """
 
-QUERIES = {"op1_token_output": op1_token_output, "op3_quality_model": op3_quality_model, "op4_best_fit_packing": op4_best_fit_packing, "op5_url_filter": op5_url_filter, "op6_mix_sources": op6_mix_sources, "op7_quality_rules": op7_quality_rules, "op10_line_dedup": op10_line_dedup}
-SQL = {"op5_url_filter": OP5_SQL, "op6_mix_sources": OP6_SQL, "op10_line_dedup": OP10_SQL}
+QUERIES = {"op1_token_output": op1_token_output, "op3_quality_model": op3_quality_model, "op4_best_fit_packing": op4_best_fit_packing, "op5_url_filter": op5_url_filter, "op6_mix_sources": op6_mix_sources, "op7_quality_rules": op7_quality_rules, "op9_exact_topk": op9_exact_topk, "op10_line_dedup": op10_line_dedup}
+SQL = {"op5_url_filter": OP5_SQL, "op6_mix_sources": OP6_SQL, "op9_exact_topk": OP9_SQL, "op10_line_dedup": OP10_SQL}
