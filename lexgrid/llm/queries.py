@@ -84,6 +84,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality.*")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrid.llm.ngram_join import join_ngrams
+
+    return join_ngrams(table(spark, sf_dir, "documents"), width=3, outer=90, inner=100).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexgrid.llm.exact_topk import top_k
 
@@ -118,5 +124,5 @@ select doc_id, count(*) as n_lines, count(*) filter (gone)::bigint as n_dropped,
     sha256(coalesce(string_agg(line, chr(10) order by n) filter (not gone), '')) as kept_sha256 from marked group by doc_id
 """
 
-QUERIES = {"op1_token_output": op1_token_output, "op3_quality_model": op3_quality_model, "op4_best_fit_packing": op4_best_fit_packing, "op5_url_filter": op5_url_filter, "op6_mix_sources": op6_mix_sources, "op7_quality_rules": op7_quality_rules, "op9_exact_topk": op9_exact_topk, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_token_output": op1_token_output, "op3_quality_model": op3_quality_model, "op4_best_fit_packing": op4_best_fit_packing, "op5_url_filter": op5_url_filter, "op6_mix_sources": op6_mix_sources, "op7_quality_rules": op7_quality_rules, "op8_ngram_join": op8_ngram_join, "op9_exact_topk": op9_exact_topk, "op10_line_dedup": op10_line_dedup}
 SQL = {"op5_url_filter": OP5_SQL, "op6_mix_sources": OP6_SQL, "op9_exact_topk": OP9_SQL, "op10_line_dedup": OP10_SQL}
