@@ -8,8 +8,8 @@ from array import array
 
 import numpy as np
 
-#: Words kept at most in a worker's memory (about 140 MB), and the longest kept; beyond that the memory is emptied, or the word encoded anew.
-MOST_WORDS, LONGEST_WORD = 700_000, 48
+#: Words kept at most in a worker's memory (about 200 MB), and the longest kept; beyond that the memory is emptied, or the word encoded anew.
+MOST_WORDS, LONGEST_WORD = 1_000_000, 48
 #: Stands for a line's end at the start of a word; a text that holds it is encoded whole.
 LINE = "\x03"
 
@@ -52,27 +52,36 @@ class Encoder:
             return None
         return [raw[a:b] for a, b in zip([0, *[x + 4 for x in ends]], [*ends, len(raw)], strict=True)]
 
+    def add(self, new: list[str], into: dict[str, bytes]) -> bool:
+        """Encode words into `into`; False if that can't be done by word."""
+        for some, before in (([w for w in new if w[0] != LINE], " "), ([w for w in new if w[0] == LINE], "")):
+            if some:
+                got = self.joined([w.removeprefix(LINE) for w in some], before)
+                if got is None:
+                    return False
+                into.update(zip(some, got if before else [self.line + x for x in got], strict=True))
+        return True
+
     def encode(self, text: str) -> bytes:
         known = self.words
         if not self.by_word or LINE in text or not text:
             return self.whole(text)
         words = (LINE + text.replace("\n", " " + LINE)).split(" ")
-        new = [w for w in set(words) if w not in known]
-        extra: dict[str, bytes] = {}
-        if new:
-            if "\n".join(new).split() != new or LINE in new:
-                return self.whole(text)
-            if len(known) + len(new) > MOST_WORDS:
-                known.clear()
-                new = list(set(words))
-            for some, before in (([w for w in new if w[0] != LINE], " "), ([w for w in new if w[0] == LINE], "")):
-                if some:
-                    got = self.joined([w.removeprefix(LINE) for w in some], before)
-                    if got is None:
-                        return self.whole(text)
-                    for w, ids in zip(some, got, strict=True):
-                        (known if len(w) <= LONGEST_WORD else extra)[w] = ids if before else self.line + ids
-        return b"".join([known[w] if w in known else extra[w] for w in words] if extra else [known[w] for w in words])[4:]
+        if not (new := set(words).difference(known)):
+            return b"".join(map(known.__getitem__, words))[4:]
+        if "\n".join(new := list(new)).split() != new or LINE in new:
+            return self.whole(text)
+        if len(known) + len(new) > MOST_WORDS:
+            known.clear()
+            new = list(set(words))
+        got: dict[str, bytes] = {}
+        if not self.add(new, got):
+            return self.whole(text)
+        if max(map(len, got)) <= LONGEST_WORD:
+            known.update(got)
+            return b"".join(map(known.__getitem__, words))[4:]
+        known.update({w: x for w, x in got.items() if len(w) <= LONGEST_WORD})
+        return b"".join([known[w] if w in known else got[w] for w in words])[4:]
 
 
 def encoder(path: str) -> Encoder:
