@@ -18,6 +18,18 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexgrid.llm.privacy import KINDS, find_personal
+
+    found = find_personal(table(spark, sf_dir, "documents"))
+    names = F.array(*[F.lit(k) for k in KINDS])
+    base = F.transform("base", lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string")))
+    terms = F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["end"].cast("string")))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, terms), ",").alias("spans"), F.size("terms").cast("long").alias("n_term"))
+
+
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexgrid.llm.quality_model import HELD_OUT, THRESHOLD, fold, learn, score
 
@@ -124,5 +136,5 @@ select doc_id, count(*) as n_lines, count(*) filter (gone)::bigint as n_dropped,
     sha256(coalesce(string_agg(line, chr(10) order by n) filter (not gone), '')) as kept_sha256 from marked group by doc_id
 """
 
-QUERIES = {"op1_token_output": op1_token_output, "op3_quality_model": op3_quality_model, "op4_best_fit_packing": op4_best_fit_packing, "op5_url_filter": op5_url_filter, "op6_mix_sources": op6_mix_sources, "op7_quality_rules": op7_quality_rules, "op8_ngram_join": op8_ngram_join, "op9_exact_topk": op9_exact_topk, "op10_line_dedup": op10_line_dedup}
+QUERIES = {"op1_token_output": op1_token_output, "op2_private_terms": op2_private_terms, "op3_quality_model": op3_quality_model, "op4_best_fit_packing": op4_best_fit_packing, "op5_url_filter": op5_url_filter, "op6_mix_sources": op6_mix_sources, "op7_quality_rules": op7_quality_rules, "op8_ngram_join": op8_ngram_join, "op9_exact_topk": op9_exact_topk, "op10_line_dedup": op10_line_dedup}
 SQL = {"op5_url_filter": OP5_SQL, "op6_mix_sources": OP6_SQL, "op9_exact_topk": OP9_SQL, "op10_line_dedup": OP10_SQL}
