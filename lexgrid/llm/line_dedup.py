@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexgrid.llm.bloom import Seen, filled, places, size_of, test
 from lexgrid.llm.shared import BLANKS, for_python, with_text, written
 
-#: Bits of a filter for each line, and at most (64 MB). Over that it lets more lines pass to the exact stage; results are the same.
-BITS_A_LINE, MOST_BITS = 16, 1 << 29
-#: Bits in a block of a filter: what is sent and merged at a time.
-BLOCK = 1 << 16
 OWN = ("line_total", "line_dropped")
 LEAST = -(1 << 63)
 _BLANKS = BLANKS.encode()
@@ -27,76 +23,6 @@ def line_keys(text: str, least_chars: int) -> Iterator[bytes]:
         yield key if len(key) >= least_chars and (key.isascii() or len(key.decode()) >= least_chars) else b""
 
 
-def places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of each hash."""
-    n = np.uint64(bits - 1)
-    return hashes & n, (hashes >> np.uint64(33)) & n
-
-
-def test(filled: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return ((filled[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1).astype(bool)
-
-
-def put(filled: np.ndarray, at: np.ndarray) -> None:
-    np.bitwise_or.at(filled, (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
-
-
-class Seen:
-    """Two Bloom filters: of hashes seen, and of hashes seen again. Two bits for each hash, eight bits in a byte."""
-
-    def __init__(self, bits: int):
-        self.bits, self.once, self.twice = bits, np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-
-    def add(self, hashes: np.ndarray) -> None:
-        """hashes: of one batch; a hash that stands in it twice was seen again."""
-        new, counts = np.unique(hashes, return_counts=True)
-        at = places(new, self.bits)
-        again = (counts > 1) | (test(self.once, at[0]) & test(self.once, at[1]))
-        for x in at:
-            put(self.twice, x[again])
-            put(self.once, x)
-
-    def blocks(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """(number, once, twice) of each block with a bit."""
-        for k in range(self.bits // BLOCK):
-            cut = slice(k * BLOCK // 8, (k + 1) * BLOCK // 8)
-            if self.once[cut].any():
-                yield k, pressed(self.once[cut]), pressed(self.twice[cut])
-
-
-def pressed(block: np.ndarray) -> bytes:
-    """A block's bits as places of 16 bits each, or where that is longer as they are."""
-    at = np.flatnonzero(np.unpackbits(block))
-    return at.astype("<u2").tobytes() if 2 * len(at) < BLOCK // 8 else block.tobytes()
-
-
-def spread(data: bytes) -> np.ndarray:
-    if len(data) == BLOCK // 8:
-        return np.frombuffer(data, np.uint8)
-    block = np.zeros(BLOCK // 8, np.uint8)
-    put(block, np.frombuffer(data, "<u2").astype(np.uint64))
-    return block
-
-
-def merged(batches):
-    """Blocks sorted by number to (number, bits seen twice): seen again within a part, or in two parts."""
-    import pyarrow as pa
-
-    now, once, twice = None, None, None
-    row = lambda: pa.RecordBatch.from_pydict({"block": pa.array([now], pa.int32()), "twice": pa.array([pressed(twice)], pa.binary())})
-    for batch in batches:
-        for k, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if k != now:
-                if now is not None and twice.any():
-                    yield row()
-                now, once, twice = k, np.zeros(BLOCK // 8, np.uint8), np.zeros(BLOCK // 8, np.uint8)
-            bits = spread(a)
-            twice = twice | spread(b) | (once & bits)
-            once = once | bits
-    if now is not None and twice.any():
-        yield row()
-
-
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_chars: int = 20, least_docs: int = 3) -> DataFrame:
     r"""docs' columns with repeated lines taken out of `text` (and n_chars to match, where it exists), then line_total (lines before) and line_dropped.
 
@@ -109,11 +35,10 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in OWN])
     at, t = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LEAST)), F.col(f"`{text}`")
     lines = docs.agg(F.sum(F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 1
-    bits = min(MOST_BITS, max(BLOCK, 1 << math.ceil(math.log2(BITS_A_LINE * lines))))
+    bits = size_of(lines)
     narrow = docs.filter(t.isNotNull()).select(at.alias("id"), t.alias("text"))
 
     def fill(batches):
-        import pyarrow as pa
         from xxhash import xxh3_64_intdigest
 
         seen = Seen(bits)
@@ -122,14 +47,9 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             for x in batch.column(1):
                 hashes += {xxh3_64_intdigest(k) for k in line_keys(x.as_py(), least_chars) if k}
             seen.add(np.array(hashes, np.uint64))
-        for k, once, twice in seen.blocks():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "once": pa.array([once], pa.binary()), "twice": pa.array([twice], pa.binary())})
-
-    parts = narrow.mapInArrow(fill, "block int, once binary, twice binary")
-    filled = bytearray(bits // 8)
-    for r in parts.repartition("block").sortWithinPartitions("block").mapInArrow(merged, "block int, twice binary").collect():
-        filled[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = spread(bytes(r["twice"])).tobytes()
-    again = spark.sparkContext.broadcast(bytes(filled))
+        yield from seen.batches()
+
+    again = filled(narrow.mapInArrow(fill, Seen.SCHEMA), bits, twice=True)
 
     def suspect(batches):
         import pyarrow as pa

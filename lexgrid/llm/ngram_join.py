@@ -6,12 +6,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexgrid.llm.bloom import Seen, filled, places, size_of, test
 from lexgrid.llm.components import components
 from lexgrid.llm.shared import for_python, written
-from lexgrid.llm.sketches import Bands, parity_bits, shingles
+from lexgrid.llm.sketches import Bands, folded, mixed, parity_bits, shingles
 
-#: Members of a block that meet at a time, about.
-CHUNK = 128
+#: Members of a block that meet at a time, about; pairs of two labels that a turn takes from them.
+CHUNK, PAIRS = 128, 16
+LEAST = -(1 << 63)
 
 
 def prints(docs: DataFrame, doc_id: str, text: str, width: int, bands: Bands) -> DataFrame:
@@ -44,24 +46,35 @@ def class_of(members: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """(class, n, members) for wanted (class, rep), from the text of the document rep. members: its shingles' hashes, sorted."""
+def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int, bands: Bands) -> DataFrame:
+    """(class, n, members, bits) for wanted (class, rep), from the text of the document rep. members: its shingles' hashes, sorted; bits: its sketch of single bits.
+
+    A Bloom filter of the wanted ids, of bounded size, picks the documents where they are read, so that no text is shuffled; the classes are then compared exactly.
+    """
+    size = size_of(wanted.count())
+
+    def fill(batches):
+        seen = Seen(size)
+        for batch in batches:
+            seen.add(mixed(batch.column(0).to_numpy().view(np.uint64)))
+        yield from seen.batches()
+
+    ids = filled(wanted.select("rep").mapInArrow(fill, Seen.SCHEMA), size)
 
     def make(batches):
         import pyarrow as pa
 
+        filter_ = np.frombuffer(ids.value, np.uint8)
         for batch in batches:
-            own, out = [], []
-            for name, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                members = shingles(x.as_py(), width)
-                if class_of(members) == name:
-                    own.append(name)
-                    out.append(members)
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([len(m) for m in out], pa.int64()), pa.array([m.tobytes() for m in out], pa.binary())], names=["class", "n", "members"])
+            a, b = places(mixed(batch.column(0).to_numpy().view(np.uint64)), size)
+            out = [shingles(batch.column(1)[int(k)].as_py(), width) for k in np.flatnonzero(test(filter_, a) & test(filter_, b))]
+            out = [m for m in out if len(m)]
+            columns = [pa.array([class_of(m) for m in out], pa.int64()), pa.array([len(m) for m in out], pa.int64()), pa.array([m.tobytes() for m in out], pa.binary()), pa.array([parity_bits(m, bands) for m in out], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["class", "n", "members", "bits"])
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    met = rows.join(wanted, rows["id"].eqNullSafe(wanted["rep"])).select("class", "text")
-    return met.mapInArrow(make, "class long, n long, members binary").dropDuplicates(["class"])
+    rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LEAST)).alias("id"), F.col(f"`{text}`").alias("text"))
+    made = rows.mapInArrow(make, "class long, n long, members binary, bits binary")
+    return made.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
@@ -86,59 +99,61 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     return x.select("a", "b", "one", "other").mapInArrow(check, "a long, b long")
 
 
-def within(rows: DataFrame, bands: Bands) -> DataFrame:
-    """rows (key, i, j, chunk, class, label, members): of each (key, i, j), links between classes of chunks i and j that labels don't join yet, enough to join what their links join."""
-
-    def pairs(group):
-        names, labels, chunks = [r[0] for r in group], [r[1] for r in group], np.array([r[2] for r in group])
-        sets = [np.frombuffer(r[3], np.uint64) for r in group]
-        sizes, bits = np.array([len(s) for s in sets]), np.stack([parity_bits(s) for s in sets])
-        root = {x: x for x in labels}
+def within(rows: DataFrame, bands: Bands, turn: int) -> DataFrame:
+    """rows (key, i, j, chunk, class, was, label, n, bits): of each (key, i, j), pairs of classes of chunks i and j that may link by sizes and sketches, whose labels differ.
 
-        def find(x):
-            while root[x] != x:
-                root[x] = x = root[root[x]]
-            return x
+    Of each two labels that the classes had at first (`was`), the pairs of this turn: PAIRS of them, the likeliest first. So a turn brings few pairs even where whole groups link, and later turns the rest, if the labels still differ.
+    """
 
-        one = group[0][4]
+    def pairs(group):
+        names, was, labels, chunks = ([r[k] for r in group] for k in range(4))
+        first, label, chunks = np.unique(was, return_inverse=True)[1], np.unique(labels, return_inverse=True)[1], np.array(chunks)
+        sizes, least = np.array([r[4] for r in group]), min(len(r[5]) for r in group)
+        bits, seen, found = np.stack([folded(r[5], least) for r in group]), {}, []
         for p in range(len(group)):
             rest = np.arange(p + 1, len(group))
-            if not one:  # two chunks: only pairs across
-                rest = rest[chunks[rest] != chunks[p]]
-            both = sizes[rest] + sizes[p]
+            rest = rest[(first[rest] != first[p]) & (group[0][6] | (chunks[rest] != chunks[p]))]
             apart = np.bitwise_count(bits[rest] ^ bits[p]).sum(1)
-            near = (bands.inner * np.minimum(sizes[rest], sizes[p]) >= bands.outer * np.maximum(sizes[rest], sizes[p])) & (apart * (bands.inner + bands.outer) <= both * (bands.inner - bands.outer))
-            for q in rest[near]:
-                a, b = find(labels[p]), find(labels[q])
-                if a != b and bands.link(len(np.intersect1d(sets[p], sets[q], assume_unique=True)), len(sets[p]), len(sets[q])):
-                    root[a] = b
-                    yield names[p], names[q]
+            near = (bands.inner * np.minimum(sizes[rest], sizes[p]) >= bands.outer * np.maximum(sizes[rest], sizes[p])) & (apart * (bands.inner + bands.outer) <= (sizes[rest] + sizes[p]) * (bands.inner - bands.outer))
+            found += [(int(d), p, int(q)) for d, q in zip(apart[near], rest[near], strict=True)]
+        for _, p, q in sorted(found):
+            two = (min(first[p], first[q]), max(first[p], first[q]))
+            seen[two] = k = seen.get(two, -1) + 1
+            if k // PAIRS == turn and label[p] != label[q]:
+                yield min(names[p], names[q]), max(names[p], names[q])
 
     def run(batches):
         import pyarrow as pa
 
         def told(group):
-            out = list(pairs(group)) if len({r[1] for r in group}) > 1 else []
+            out = list(pairs(group)) if len({r[2] for r in group}) > 1 else []
             return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
         now, group = None, []
         for batch in batches:
-            for key, i, j, chunk, name, label, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, i, j) != now and group:
                     yield told(group)
                     group = []
                 now = (key, i, j)
-                group.append((name, label, chunk, members, i == j))
+                group.append((*row, i == j))
         if group:
             yield told(group)
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "class").select("key", "i", "j", "chunk", "class", "label", "members").mapInArrow(run, "a long, b long")
+    ordered = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "class")
+    return ordered.select("key", "i", "j", "class", "was", "label", "chunk", "n", "bits").mapInArrow(run, "a long, b long").distinct()
+
+
+def open_blocks(named: DataFrame) -> DataFrame:
+    """(key, chunks) of the blocks whose members have several labels; of blocks of the same members, one."""
+    left = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("sum"), F.bit_xor("class").alias("xor")).filter("low < high")
+    return left.groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
 
 
 def join_ngrams(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, outer: int = 80, inner: int = 100) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) for each row: the size of its set of shingles of `width` words, a hash of the set, and the smallest id that links reach.
 
-    Two sets link when inner * intersection >= outer * union. Copies are one class from the start. Each class's parity sketches are joined by blocks (see Bands), so that no link is missed; blocks of two classes or more hold the candidates. Each candidate is verified on whole sets against the smallest class of each of its blocks; components of these links are formed; blocks whose members then have several labels are taken again, in chunks of CHUNK against each other, and each pair in them that labels don't join yet and that single-bit sketches allow is verified. So a block's members never meet all at once, and every link has been tested or joins what is joined already.
+    Two sets link when inner * intersection >= outer * union. Copies are one class from the start. Each class's parity sketches are joined by blocks (see Bands), so that no link is missed; blocks of two classes or more hold the candidates. Each candidate is verified on whole sets against the smallest class of each of its blocks; components of these links are formed; blocks whose members then have several labels are taken again, in chunks of CHUNK against each other, and each pair in them that labels don't join yet and that single-bit sketches allow is verified, turn by turn until none is left. So a block's members never meet all at once, and every link has been tested or joins what is joined already.
     Null or empty text, or text of blanks, has no shingles, links with nothing and is its own component. Null ids stand before all others as the smallest id, and such rows have component null. Repeated rows are one class. An empty table gives an empty one. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -148,24 +163,28 @@ def join_ngrams(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     rows = all_rows.filter("keys is not null").select("class", F.explode("keys").alias("key"))
     multi = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
     members = written(rows.join(multi, "key").select("key", "class", "low").distinct(), "members")
-    reps = all_rows.filter("n_shingles > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"))
-    wanted = reps.join(members.select("class").distinct(), "class").select("class", F.when(F.col("rep") != -(1 << 63), F.col("rep")).alias("rep"))
-    sets = written(sets_of(docs, wanted, doc_id, text, width), "sets")
+    reps = all_rows.filter("n_shingles > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("rep"))
+    wanted = written(reps.join(members.select("class").distinct(), "class"), "wanted")
+    sets = written(sets_of(docs, wanted, doc_id, text, width, bands), "sets")
     links = written(verified(members.filter("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct(), sets, bands), "links")
     labels = written(components(links, "a", "b"), "labels")
-    named = members.join(labels, members["class"] == labels["node"], "left").select("key", "class", F.coalesce("label", "class").alias("label"))
-    # blocks of the same members are taken once
-    left = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("sum"), F.bit_xor("class").alias("xor")).filter("low < high")
-    left = written(left.groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "open")
-    if left.count():
+    named = members.join(labels, members["class"] == labels["node"], "left").select("key", "class", F.coalesce("label", "class").alias("label"), F.coalesce("label", "class").alias("was"))
+    turn = 0
+    while (left := written(open_blocks(named), "open")).count():
         chunk = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
-        parts = named.join(left, "key").select("key", "class", "label", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        parts = parts.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "class", "label").join(sets.select("class", "members"), "class")
-        more = written(within(parts, bands), "links")
+        parts = named.join(left, "key").select("key", "class", "was", "label", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        parts = parts.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "class", "was", "label").join(sets.select("class", "n", "bits"), "class")
+        asked = written(within(parts, bands, turn), "pairs")
+        if not asked.count():
+            break
+        more = written(verified(asked, sets, bands), "links")
         if more.count():
-            labels = written(components(links.unionAll(more), "a", "b"), "labels")
+            links = links.unionAll(more)
+            labels = written(components(links, "a", "b"), "labels")
+            named = named.drop("label").join(labels, named["class"] == labels["node"], "left").select("key", "class", "was", F.coalesce("label", "class").alias("label"))
+        turn += 1
     ends = reps.join(labels, reps["class"] == labels["node"], "left").select("class", F.coalesce("label", "class").alias("label"), "rep")
     least = ends.groupBy("label").agg(F.min("rep").alias("component"))
-    ends = ends.join(least, "label").select(F.col("class").alias("end_class"), F.when(F.col("component") != -(1 << 63), F.col("component")).alias("component"))
+    ends = ends.join(least, "label").select(F.col("class").alias("end_class"), F.when(F.col("component") != LEAST, F.col("component")).alias("component"))
     out = all_rows.select("doc_id", "n_shingles", "class").join(ends, F.col("class") == F.col("end_class"), "left")
     return out.select("doc_id", "n_shingles", F.col("class").alias("class_id"), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

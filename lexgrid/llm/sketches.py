@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
-from math import ceil, exp
+from math import ceil, exp, log2
 
 import numpy as np
 
@@ -85,6 +85,16 @@ class Bands:
         return both > 0 and self.inner * both >= self.outer * (a + b - both)
 
 
-def parity_bits(members: np.ndarray, bits: int = 1024) -> np.ndarray:
-    """A sketch of single bits: each member flips one. Two sketches differ in no more bits than the sets in members."""
-    return np.packbits(np.bincount((members >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).view(np.uint64)
+def parity_bits(members: np.ndarray, bands: Bands) -> bytes:
+    """A sketch of single bits, eight or more for each member that a linked set can differ in: each member flips one. Two sketches, folded to the shorter's length, differ in no more bits than the sets in members."""
+    most = 2 * len(members) * (bands.inner - bands.outer) // (bands.inner + bands.outer)
+    bits = 1 << ceil(log2(max(128, 8 * most)))
+    return np.packbits((np.bincount((members >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A sketch folded to `size` bytes."""
+    x = np.frombuffer(bits, np.uint8)
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.view(np.uint64)
