@@ -10,6 +10,10 @@ import numpy as np
 
 #: Words kept at most in a worker's memory (about 200 MB), and the longest kept; beyond that the memory is emptied, or the word encoded anew.
 MOST_WORDS, LONGEST_WORD = 1_000_000, 48
+#: Marks, and the last letter of the Latin blocks.
+MARKS, LAST_LATIN = ".,;:!?", "\u024f"
+#: Byte-level vocabularies write a byte as the character of its number if that is visible in Latin-1, and the others in turn as the characters from 256 on.
+BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 #: Stands for a line's end at the start of a word; a text that holds it is encoded whole.
 LINE = "\x03"
 
@@ -38,7 +42,9 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.line = self.whole("\n")
         self.by_word &= len(self.line) == 4
+        self.tokenize = self.tokenizer.model.tokenize
         self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
@@ -53,8 +59,27 @@ class Encoder:
         return [raw[a:b] for a, b in zip([0, *[x + 4 for x in ends]], [*ends, len(raw)], strict=True)]
 
     def add(self, new: list[str], into: dict[str, bytes]) -> bool:
-        """Encode words into `into`; False if that can't be done by word."""
-        for some, before in (([w for w in new if w[0] != LINE], " "), ([w for w in new if w[0] == LINE], "")):
+        """Encode words into `into`; False if that can't be done by word.
+
+        A word of Latin letters, and marks after it, is one split of letters and one of marks: the letters go to the model at once, the marks are remembered.
+        """
+        rest = []
+        for w in new:
+            c = w.rstrip(MARKS)
+            x = c[1:] if w[0] == LINE else c
+            if not x.isalpha() or max(x) > LAST_LATIN:
+                rest.append(w)
+                continue
+            if x is c:
+                x = " " + x
+            raw = array("I", [t.id for t in self.tokenize(x.encode().decode("latin-1").translate(BYTES))]).tobytes()
+            if c is not w and len(c) < len(w):
+                tail = w[len(c) :]
+                if tail not in self.marks:
+                    self.marks[tail] = self.whole(tail)
+                raw += self.marks[tail]
+            into[w] = self.line + raw if w[0] == LINE else raw
+        for some, before in (([w for w in rest if w[0] != LINE], " "), ([w for w in rest if w[0] == LINE], "")):
             if some:
                 got = self.joined([w.removeprefix(LINE) for w in some], before)
                 if got is None:
