@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexgrid.llm.bloom import Seen, filled, places, size_of, test
@@ -11,8 +12,8 @@ from lexgrid.llm.components import components
 from lexgrid.llm.shared import for_python, written
 from lexgrid.llm.sketches import Bands, folded, mixed, parity_bits, shingles
 
-#: Members of a block that meet at a time, about; pairs of two labels that a turn takes from them.
-CHUNK, PAIRS = 128, 16
+#: Members of a block that meet at a time, about.
+CHUNK = 128
 LEAST = -(1 << 63)
 
 
@@ -100,54 +101,69 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 
 
 def within(rows: DataFrame, bands: Bands, turn: int) -> DataFrame:
-    """rows (key, i, j, chunk, class, was, label, n, bits): of each (key, i, j), pairs of classes of chunks i and j that may link by sizes and sketches, whose labels differ.
+    """rows (key, i, j, chunk, class, label, failed, n, bits): of each (key, i, j), pairs (key, a, b) of classes of chunks i and j that may link by sizes and sketches, whose labels differ and which haven't failed.
 
-    Of each two labels that the classes had at first (`was`), the pairs of this turn: PAIRS of them, the likeliest first. So a turn brings few pairs even where whole groups link, and later turns the rest, if the labels still differ.
+    Pairs that join what isn't joined yet if they link, the likeliest first: fewer than the classes that meet. From the second turn on also more pairs of two labels, four times as many each turn.
     """
 
     def pairs(group):
-        names, was, labels, chunks = ([r[k] for r in group] for k in range(4))
-        first, label, chunks = np.unique(was, return_inverse=True)[1], np.unique(labels, return_inverse=True)[1], np.array(chunks)
+        names, labels, chunks = ([r[k] for r in group] for k in range(3))
+        failed, label, chunks = [set(r[3] or ()) for r in group], np.unique(labels, return_inverse=True)[1], np.array(chunks)
         sizes, least = np.array([r[4] for r in group]), min(len(r[5]) for r in group)
-        bits, seen, found = np.stack([folded(r[5], least) for r in group]), {}, []
+        bits, seen, found, root = np.stack([folded(r[5], least) for r in group]), {}, [], list(range(int(label.max()) + 1))
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
         for p in range(len(group)):
             rest = np.arange(p + 1, len(group))
-            rest = rest[(first[rest] != first[p]) & (group[0][6] | (chunks[rest] != chunks[p]))]
+            rest = rest[(label[rest] != label[p]) & (group[0][6] | (chunks[rest] != chunks[p]))]
             apart = np.bitwise_count(bits[rest] ^ bits[p]).sum(1)
             near = (bands.inner * np.minimum(sizes[rest], sizes[p]) >= bands.outer * np.maximum(sizes[rest], sizes[p])) & (apart * (bands.inner + bands.outer) <= (sizes[rest] + sizes[p]) * (bands.inner - bands.outer))
-            found += [(int(d), p, int(q)) for d, q in zip(apart[near], rest[near], strict=True)]
+            found += [(int(d), p, int(q)) for d, q in zip(apart[near], rest[near], strict=True) if names[q] not in failed[p] and names[p] not in failed[q]]
         for _, p, q in sorted(found):
-            two = (min(first[p], first[q]), max(first[p], first[q]))
-            seen[two] = k = seen.get(two, -1) + 1
-            if k // PAIRS == turn and label[p] != label[q]:
+            x, y, two = find(label[p]), find(label[q]), (min(label[p], label[q]), max(label[p], label[q]))
+            if x != y or turn and seen.get(two, 0) < 4**turn:
+                root[x] = y
+                seen[two] = seen.get(two, 0) + 1
                 yield min(names[p], names[q]), max(names[p], names[q])
 
     def run(batches):
         import pyarrow as pa
 
-        def told(group):
-            out = list(pairs(group)) if len({r[2] for r in group}) > 1 else []
-            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+        def told(key, group):
+            out = list(pairs(group)) if len({r[1] for r in group}) > 1 else []
+            return pa.RecordBatch.from_pydict({"key": pa.array([key] * len(out), pa.int64()), "a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
         now, group = None, []
         for batch in batches:
             for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, i, j) != now and group:
-                    yield told(group)
+                    yield told(now[0], group)
                     group = []
                 now = (key, i, j)
                 group.append((*row, i == j))
         if group:
-            yield told(group)
+            yield told(now[0], group)
 
     ordered = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "class")
-    return ordered.select("key", "i", "j", "class", "was", "label", "chunk", "n", "bits").mapInArrow(run, "a long, b long").distinct()
+    return ordered.select("key", "i", "j", "class", "label", "chunk", "failed", "n", "bits").mapInArrow(run, "key long, a long, b long")
 
 
 def open_blocks(named: DataFrame) -> DataFrame:
-    """(key, chunks) of the blocks whose members have several labels; of blocks of the same members, one."""
+    """(key, n) of the blocks whose members have several labels; of blocks of the same members, one."""
     left = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("class").cast("decimal(20,0)")).alias("sum"), F.bit_xor("class").alias("xor")).filter("low < high")
-    return left.groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    return left.groupBy("n", "sum", "xor").agg(F.min("key").alias("key")).select("key", "n")
+
+
+def next_blocks(named: DataFrame, blocks: DataFrame, turn: int) -> DataFrame:
+    """(key, n, chosen) of the blocks that are still open. Chosen: those that are among the largest 4^turn blocks of any of their labels, for these join most and leave little to do in the others."""
+    x = named.join(blocks, "key").select("key", "n", "label").distinct()
+    place = F.row_number().over(W.partitionBy("label").orderBy(F.col("n").desc(), "key"))
+    x = x.select("key", "n", "label", place.alias("place")).groupBy("key", "n").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("place").alias("place"))
+    return x.filter("low < high").select("key", "n", (F.col("place") <= 4**turn).alias("chosen"))
 
 
 def join_ngrams(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, outer: int = 80, inner: int = 100) -> DataFrame:
@@ -168,20 +184,27 @@ def join_ngrams(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     sets = written(sets_of(docs, wanted, doc_id, text, width, bands), "sets")
     links = written(verified(members.filter("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct(), sets, bands), "links")
     labels = written(components(links, "a", "b"), "labels")
-    named = members.join(labels, members["class"] == labels["node"], "left").select("key", "class", F.coalesce("label", "class").alias("label"), F.coalesce("label", "class").alias("was"))
-    turn = 0
-    while (left := written(open_blocks(named), "open")).count():
+    named = members.join(labels, members["class"] == labels["node"], "left").select("key", "class", F.coalesce("label", "class").alias("label"))
+    turn, blocks, failed = 0, written(open_blocks(named), "open"), links.limit(0)
+    while True:
+        blocks = written(next_blocks(named, blocks, turn), "open")
+        chosen = blocks.filter("chosen").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+        if chosen.isEmpty():
+            break
         chunk = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
-        parts = named.join(left, "key").select("key", "class", "was", "label", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        parts = parts.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "class", "was", "label").join(sets.select("class", "n", "bits"), "class")
+        parts = named.join(chosen, "key").select("key", "class", "label", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        parts = parts.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "class", "label")
+        parts = parts.join(sets.select("class", "n", "bits"), "class").join(failed.groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("failed")), "class", "left")
         asked = written(within(parts, bands, turn), "pairs")
-        if not asked.count():
-            break
+        # a chosen block without pairs has none to come
+        blocks = blocks.select("key", "n", "chosen").join(asked.select("key").distinct().withColumn("more", F.lit(True)), "key", "left").filter("more or not chosen").select("key", "n")
+        asked = asked.select("a", "b").distinct()
         more = written(verified(asked, sets, bands), "links")
-        if more.count():
+        failed = written(failed.unionAll(asked.join(more, ["a", "b"], "left_anti")), "failed")
+        if not more.isEmpty():
             links = links.unionAll(more)
             labels = written(components(links, "a", "b"), "labels")
-            named = named.drop("label").join(labels, named["class"] == labels["node"], "left").select("key", "class", "was", F.coalesce("label", "class").alias("label"))
+            named = written(members.join(labels, members["class"] == labels["node"], "left").select("key", "class", F.coalesce("label", "class").alias("label")), "named")
         turn += 1
     ends = reps.join(labels, reps["class"] == labels["node"], "left").select("class", F.coalesce("label", "class").alias("label"), "rep")
     least = ends.groupBy("label").agg(F.min("rep").alias("component"))
