@@ -8,8 +8,10 @@ from array import array
 
 import numpy as np
 
-#: Words kept at most in a worker's memory (about 200 MB), and the longest kept; beyond that the memory is emptied, or the word encoded anew.
-MOST_WORDS, LONGEST_WORD = 1_000_000, 48
+from lexgrid.llm.shared import memory_of
+
+#: Words kept at most in a worker's memory (about 100 MB), and the longest kept; beyond that the memory is emptied, or the word encoded anew.
+MOST_WORDS, LONGEST_WORD = 500_000, 48
 #: Marks, and the last letter of the Latin blocks.
 MARKS, LAST_LATIN = ".,;:!?", "\u024f"
 #: Byte-level vocabularies write a byte as the character of its number if that is visible in Latin-1, and the others in turn as the characters from 256 on.
@@ -43,7 +45,7 @@ class Encoder:
         self.line = self.whole("\n")
         self.by_word &= len(self.line) == 4
         self.tokenize = self.tokenizer.model.tokenize
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # of this vocabulary, as encoder() sets it
         self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -113,6 +115,7 @@ def encoder(path: str) -> Encoder:
     """This worker's encoder for a vocabulary file."""
     if path not in _loaded:
         _loaded[path] = Encoder(path)
+    _loaded[path].words = memory_of(path)
     return _loaded[path]
 
 

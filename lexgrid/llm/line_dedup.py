@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrid.llm.bloom import Seen, filled, places, size_of, test
-from lexgrid.llm.shared import BLANKS, for_python, with_text, written
+from lexgrid.llm.shared import BLANKS, for_python, memory_of, with_text, written
 
 OWN = ("line_total", "line_dropped")
 LEAST = -(1 << 63)
@@ -41,6 +41,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     def fill(batches):
         from xxhash import xxh3_64_intdigest
 
+        memory_of("lines")
         seen = Seen(bits)
         for batch in batches:
             hashes = []

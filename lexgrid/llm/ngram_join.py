@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexgrid.llm.bloom import Seen, filled, places, size_of, test
 from lexgrid.llm.components import components
-from lexgrid.llm.shared import for_python, written
+from lexgrid.llm.shared import for_python, memory_of, written
 from lexgrid.llm.sketches import Bands, folded, mixed, parity_bits, shingles
 
 #: Members of a block that meet at a time, about.
@@ -23,6 +23,7 @@ def prints(docs: DataFrame, doc_id: str, text: str, width: int, bands: Bands) ->
     def make(batches):
         import pyarrow as pa
 
+        memory_of("shingles")
         seen: set[int] = set()
         for batch in batches:
             n, own, keys = [], [], []

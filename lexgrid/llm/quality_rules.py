@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexgrid.llm.shared import BLANKS, for_python
+from lexgrid.llm.shared import BLANKS, for_python, memory_of
 
 #: Fixed values of the contract.
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 8, 20, 30
@@ -127,6 +127,7 @@ def rules(text: Column, *, vocabulary: str | None = None, bands: dict | None = N
 
         if path not in _loaded:
             _loaded[path] = Fertility(path)
+        _loaded[path].known = memory_of(path)
         rows = [measure(x.as_py(), _loaded[path], held) for x in texts]
         kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
         fields = [x.split() for x in FIELDS.split(", ")]

@@ -71,6 +71,17 @@ def for_python(spark: SparkSession, rows: int = 1000) -> None:
         _shipped.add(app)
 
 
+_held: dict[str, dict] = {}
+
+
+def memory_of(name: str) -> dict:
+    """A worker's memory of words for one operator. Workers live on from stage to stage, so that the others' memories are emptied when another operator asks."""
+    for other, words in _held.items():
+        if other != name:
+            words.clear()
+    return _held.setdefault(name, {})
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read again: work is done once and lost executors cost only a read."""
     spark, schema = df.sparkSession, df.schema
