@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from lexgrid.sources.store import settled
 
-BY_RANK = W.partitionBy("doc_id").orderBy("rank")
-LONG0 = F.lit(0).cast("long")
+
+def zero() -> Column:
+    return F.lit(0).cast("long")
 
 
 def bwt(corpus: DataFrame, suffixes: DataFrame) -> DataFrame:
@@ -33,7 +34,7 @@ def lf(suffixes: DataFrame) -> DataFrame:
 def symbol_counts(corpus: DataFrame, suffixes: DataFrame) -> DataFrame:
     """(doc_id, ch, n, c): occurrences of each byte, and of all smaller ones."""
     first = suffixes.join(corpus, "doc_id").groupBy("doc_id", F.substring("text", F.col("pos").cast("int") + 1, F.lit(1)).alias("ch")).agg(F.count(F.lit(1)).alias("n"))
-    return first.withColumn("c", F.coalesce(F.sum("n").over(W.partitionBy("doc_id").orderBy("ch").rowsBetween(W.unboundedPreceding, -1)), LONG0))
+    return first.withColumn("c", F.coalesce(F.sum("n").over(W.partitionBy("doc_id").orderBy("ch").rowsBetween(W.unboundedPreceding, -1)), zero()))
 
 
 def rank_select(sequence: DataFrame) -> DataFrame:
@@ -135,8 +136,8 @@ def lcp_intervals(lcps: DataFrame) -> DataFrame:
     """
     n = lcps.groupBy("doc_id").agg((F.max("rank") + 1).alias("n"))
     near = smaller_neighbours(lcps.filter("rank > 0"), "doc_id", "rank", "lcp").join(n, "doc_id")
-    inner = near.select("doc_id", F.col("v").cast("long").alias("depth"), (F.coalesce(F.col("psv"), LONG0)).alias("lb"), (F.coalesce(F.col("nsv"), F.col("n")) - 1).alias("rb"))
-    root = n.filter("n > 1").select("doc_id", LONG0.alias("depth"), LONG0.alias("lb"), (F.col("n") - 1).alias("rb"))
+    inner = near.select("doc_id", F.col("v").cast("long").alias("depth"), (F.coalesce(F.col("psv"), zero())).alias("lb"), (F.coalesce(F.col("nsv"), F.col("n")) - 1).alias("rb"))
+    root = n.filter("n > 1").select("doc_id", zero().alias("depth"), zero().alias("lb"), (F.col("n") - 1).alias("rb"))
     return inner.unionByName(root).distinct()
 
 
@@ -170,8 +171,8 @@ def matching_parentheses(bits: DataFrame) -> DataFrame:
 
 def matching_statistics(one: DataFrame, other: DataFrame, most: int) -> DataFrame:
     """(doc_id, pos, longest): for each position of `other`, the longest prefix of its suffix, up to `most` bytes, that occurs in the text of `one` of the same id. Substrings of one length meet as hashes of their bytes; lengths are halved in, as an occurrence of a prefix is one of all shorter ones."""
-    at = lambda df: df.filter("n > 0").select("doc_id", "text", "n", F.explode(F.sequence(LONG0, F.col("n") - 1)).alias("pos"))
-    a, now = at(one), at(other).withColumn("longest", LONG0)
+    at = lambda df: df.filter("n > 0").select("doc_id", "text", "n", F.explode(F.sequence(zero(), F.col("n") - 1)).alias("pos"))
+    a, now = at(one), at(other).withColumn("longest", zero())
     bit = 1 << (most.bit_length() - 1)
     while bit:
         cut = lambda n: F.substring("text", (F.col("pos") + 1).cast("int"), n.cast("int"))
