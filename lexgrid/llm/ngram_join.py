@@ -102,7 +102,7 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 
 
 def within(rows: DataFrame, bands: Bands, turn: int) -> DataFrame:
-    """rows (key, i, j, chunk, class, label, failed, n, bits): of each (key, i, j), pairs (key, a, b) of classes of chunks i and j that may link by sizes and sketches, whose labels differ and which haven't failed.
+    """rows (key, i, j, chunk, members), each a whole chunk of members (class, label, failed, n, bits): of each (key, i, j), pairs (key, a, b) of classes of chunks i and j that may link by sizes and sketches, whose labels differ and which haven't failed.
 
     Pairs that join what isn't joined yet if they link, the likeliest first: fewer than the classes that meet. From the second turn on also more pairs of two labels, four times as many each turn.
     """
@@ -140,17 +140,17 @@ def within(rows: DataFrame, bands: Bands, turn: int) -> DataFrame:
 
         now, group = None, []
         for batch in batches:
-            for key, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, i, j, chunk, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, i, j) != now and group:
                     yield told(now[0], group)
                     group = []
                 now = (key, i, j)
-                group.append((*row, i == j))
+                group += [(m["class"], m["label"], chunk, m["failed"], m["n"], m["bits"], i == j) for m in members]
         if group:
             yield told(now[0], group)
 
-    ordered = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "class")
-    return ordered.select("key", "i", "j", "class", "label", "chunk", "failed", "n", "bits").mapInArrow(run, "key long, a long, b long")
+    ordered = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "chunk")
+    return ordered.select("key", "i", "j", "chunk", "members").mapInArrow(run, "key long, a long, b long")
 
 
 def open_blocks(named: DataFrame) -> DataFrame:
@@ -193,9 +193,12 @@ def join_ngrams(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         if chosen.isEmpty():
             break
         chunk = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
-        parts = named.join(chosen, "key").select("key", "class", "label", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        parts = parts.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "class", "label")
-        parts = parts.join(sets.select("class", "n", "bits"), "class").join(failed.groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("failed")), "class", "left")
+        parts = named.join(chosen, "key").select("key", "class", "label", "chunks", chunk.alias("chunk")).join(sets.select("class", "n", "bits"), "class")
+        parts = parts.join(failed.groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("failed")), "class", "left")
+        # a chunk is a row; rows, not members, are dealt to the chunks that they meet
+        parts = parts.groupBy("key", "chunks", "chunk").agg(F.sort_array(F.collect_list(F.struct("class", "label", "failed", "n", "bits"))).alias("members"))
+        parts = parts.select("key", "chunk", "members", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        parts = parts.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "members")
         asked = written(within(parts, bands, turn), "pairs")
         # a chosen block without pairs has none to come
         blocks = blocks.select("key", "n", "chosen").join(asked.select("key").distinct().withColumn("more", F.lit(True)), "key", "left").filter("more or not chosen").select("key", "n")
