@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexgrid.llm.bloom import Seen, filled, places, size_of, test
 from lexgrid.llm.components import components
-from lexgrid.llm.shared import for_python, memory_of, written
+from lexgrid.llm.shared import dropped, for_python, memory_of, written
 from lexgrid.llm.sketches import Bands, folded, mixed, parity_bits, shingles
 
 #: Members of a block that meet at a time, about.
@@ -40,6 +40,32 @@ def prints(docs: DataFrame, doc_id: str, text: str, width: int, bands: Bands) ->
     return rows.mapInArrow(make, "doc_id long, n_shingles long, class long, keys array<long>")
 
 
+def repeated_blocks(rows: DataFrame) -> DataFrame:
+    """rows (class, keys) to (class, key) of the keys that may stand in two rows. Two Bloom filters of bounded size, of keys seen and seen again, leave out the rest where they are read: most sets have no near copy, and none of their keys are shuffled."""
+    size = size_of(rows.agg(F.sum(F.size("keys"))).first()[0] or 0)
+
+    def fill(batches):
+        seen = Seen(size)
+        for batch in batches:
+            seen.add(batch.column(1).flatten().to_numpy().view(np.uint64))
+        yield from seen.batches()
+
+    again = filled(rows.mapInArrow(fill, Seen.SCHEMA), size, twice=True)
+
+    def pick(batches):
+        import pyarrow as pa
+
+        twice = np.frombuffer(again.value, np.uint8)
+        for batch in batches:
+            keys = batch.column(1).flatten()
+            a, b = places(keys.to_numpy().view(np.uint64), size)
+            hit = pa.array(np.flatnonzero(test(twice, a) & test(twice, b)))
+            own = pa.array(np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy()))
+            yield pa.RecordBatch.from_arrays([own.take(hit), keys.take(hit)], names=["class", "key"])
+
+    return rows.mapInArrow(pick, "class long, key long")
+
+
 def class_of(members: np.ndarray) -> int:
     """A 64-bit hash of a set; equal sets have equal ones."""
     from xxhash import xxh3_64_intdigest
@@ -177,7 +203,7 @@ def join_ngrams(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     for_python(spark)
     bands = Bands(outer, inner)
     all_rows = written(prints(docs, doc_id, text, width, bands), "prints")
-    rows = all_rows.filter("keys is not null").select("class", F.explode("keys").alias("key"))
+    rows = written(repeated_blocks(all_rows.filter("keys is not null").select("class", "keys")), "blocks")
     multi = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
     members = written(rows.join(multi, "key").select("key", "class", "low").distinct(), "members")
     reps = all_rows.filter("n_shingles > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("rep"))
@@ -214,4 +240,6 @@ def join_ngrams(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     least = ends.groupBy("label").agg(F.min("rep").alias("component"))
     ends = ends.join(least, "label").select(F.col("class").alias("end_class"), F.when(F.col("component") != LEAST, F.col("component")).alias("component"))
     out = all_rows.select("doc_id", "n_shingles", "class").join(ends, F.col("class") == F.col("end_class"), "left")
-    return out.select("doc_id", "n_shingles", F.col("class").alias("class_id"), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = written(out.select("doc_id", "n_shingles", F.col("class").alias("class_id"), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")), "joined")
+    dropped(all_rows, rows, members, wanted, sets)
+    return out

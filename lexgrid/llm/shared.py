@@ -86,7 +86,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read again: work is done once and lost executors cost only a read."""
     spark, schema = df.sparkSession, df.schema
     df.write.parquet(path := fresh_path(spark, name))
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete written() tables that nothing will read again."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_at)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
