@@ -8,10 +8,10 @@ from array import array
 
 import numpy as np
 
-from lexgrid.llm.shared import memory_of
+from lexgrid.llm.shared import Words, memory_of
 
-#: Words kept at most in a worker's memory (about 100 MB), and the longest kept; beyond that the memory is emptied, or the word encoded anew.
-MOST_WORDS, LONGEST_WORD = 500_000, 48
+#: Words kept at most in a worker's memory (about 180 MB), and the longest kept; longer ones are encoded anew.
+MOST_WORDS, LONGEST_WORD = 900_000, 48
 #: Marks, and the last letter of the Latin blocks.
 MARKS, LAST_LATIN = ".,;:!?", "\u024f"
 #: Byte-level vocabularies write a byte as the character of its number if that is visible in Latin-1, and the others in turn as the characters from 256 on.
@@ -45,7 +45,7 @@ class Encoder:
         self.line = self.whole("\n")
         self.by_word &= len(self.line) == 4
         self.tokenize = self.tokenizer.model.tokenize
-        self.words: dict[str, bytes] = {}  # of this vocabulary, as encoder() sets it
+        self.words = Words(MOST_WORDS)
         self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -90,19 +90,15 @@ class Encoder:
         return True
 
     def encode(self, text: str) -> bytes:
-        known = self.words
         if not self.by_word or LINE in text or not text:
             return self.whole(text)
         words = (LINE + text.replace("\n", " " + LINE)).split(" ")
-        if not (new := set(words).difference(known)):
+        new = self.words.unknown(words)
+        known = self.words.new
+        if not new:
             return b"".join(map(known.__getitem__, words))[4:]
-        if "\n".join(new := list(new)).split() != new or LINE in new:
-            return self.whole(text)
-        if len(known) + len(new) > MOST_WORDS:
-            known.clear()
-            new = list(set(words))
         got: dict[str, bytes] = {}
-        if not self.add(new, got):
+        if "\n".join(new).split() != new or LINE in new or not self.add(new, got):
             return self.whole(text)
         if max(map(len, got)) <= LONGEST_WORD:
             known.update(got)
@@ -115,7 +111,7 @@ def encoder(path: str) -> Encoder:
     """This worker's encoder for a vocabulary file."""
     if path not in _loaded:
         _loaded[path] = Encoder(path)
-    _loaded[path].words = memory_of(path)
+    _loaded[path].words = memory_of(path, MOST_WORDS)
     return _loaded[path]
 
 

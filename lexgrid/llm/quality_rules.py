@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexgrid.llm.shared import BLANKS, for_python, memory_of
+from lexgrid.llm.shared import BLANKS, Words, for_python, memory_of
 
 #: Fixed values of the contract.
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 8, 20, 30
@@ -78,19 +78,15 @@ class Fertility:
 
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.pieces.is_byte(k) for k in range(self.pieces.vocab_size())])
-        self.known: dict[bytes, bytes] = {}
+        self.known = Words(MOST_KNOWN)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > MOST_KNOWN:
-            known.clear()
-            new = list(set(words))
-        extra: dict[bytes, bytes] = {}
+        new, extra = self.known.unknown(words), {}
+        known = self.known.new
         if new:
             for w, ids in zip(new, self.pieces.encode([w.decode() for w in new], out_type=int, num_threads=1), strict=True):
                 (known if len(w) <= LONGEST_KNOWN else extra)[w] = np.array(ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] if w in known else extra[w] for w in words] if extra else [known[w] for w in words]), "<u4")
+        return np.frombuffer(b"".join([known[w] if w in known else extra[w] for w in words] if extra else map(known.__getitem__, words)), "<u4")
 
 
 def measure(text: str | None, vocabulary: Fertility, bands: dict) -> tuple:
@@ -127,7 +123,7 @@ def rules(text: Column, *, vocabulary: str | None = None, bands: dict | None = N
 
         if path not in _loaded:
             _loaded[path] = Fertility(path)
-        _loaded[path].known = memory_of(path)
+        _loaded[path].known = memory_of(path, MOST_KNOWN)
         rows = [measure(x.as_py(), _loaded[path], held) for x in texts]
         kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
         fields = [x.split() for x in FIELDS.split(", ")]

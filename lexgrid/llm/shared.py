@@ -71,15 +71,37 @@ def for_python(spark: SparkSession, rows: int = 1000) -> None:
         _shipped.add(app)
 
 
-_held: dict[str, dict] = {}
+class Words:
+    """A bounded memory of words in two generations: when the new one holds half of `most`, it becomes the old one; words that are met again come back from there."""
 
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
 
-def memory_of(name: str) -> dict:
+    def unknown(self, words: list) -> list:
+        """The distinct words that aren't in `new` and must be put there; others are, after this."""
+        missing = set(words).difference(self.new)
+        if not missing:
+            return []
+        if len(self.new) + len(missing) > self.most // 2:
+            self.old, self.new = self.new, {}
+            missing = set(words)
+        back = {w: self.old[w] for w in missing if w in self.old}
+        self.new.update(back)
+        return [w for w in missing if w not in back]
+
+    def clear(self) -> None:
+        self.new, self.old = {}, {}
+
+
+_held: dict[str, Words] = {}
+
+
+def memory_of(name: str, most: int = 0) -> Words:
     """A worker's memory of words for one operator. Workers live on from stage to stage, so that the others' memories are emptied when another operator asks."""
     for other, words in _held.items():
         if other != name:
             words.clear()
-    return _held.setdefault(name, {})
+    return _held.setdefault(name, Words(most))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
