@@ -130,7 +130,7 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 def within(rows: DataFrame, bands: Bands, turn: int) -> DataFrame:
     """rows (key, i, j, chunk, members), each a whole chunk of members (class, label, failed, n, bits): of each (key, i, j), pairs (key, a, b) of classes of chunks i and j that may link by sizes and sketches, whose labels differ and which haven't failed.
 
-    Pairs that join what isn't joined yet if they link, the likeliest first: fewer than the classes that meet. From the second turn on also more pairs of two labels, four times as many each turn.
+    Pairs that join what isn't joined yet if they link, the likeliest first: fewer than the classes that meet. From the second turn on also more pairs of two labels, eight times as many each turn.
     """
 
     def pairs(group):
@@ -152,7 +152,7 @@ def within(rows: DataFrame, bands: Bands, turn: int) -> DataFrame:
             found += [(int(d), p, int(q)) for d, q in zip(apart[near], rest[near], strict=True) if names[q] not in failed[p] and names[p] not in failed[q]]
         for _, p, q in sorted(found):
             x, y, two = find(label[p]), find(label[q]), (min(label[p], label[q]), max(label[p], label[q]))
-            if x != y or turn and seen.get(two, 0) < 4**turn:
+            if x != y or turn and seen.get(two, 0) < 8**turn:
                 root[x] = y
                 seen[two] = seen.get(two, 0) + 1
                 yield min(names[p], names[q]), max(names[p], names[q])
@@ -186,11 +186,11 @@ def open_blocks(named: DataFrame) -> DataFrame:
 
 
 def next_blocks(named: DataFrame, blocks: DataFrame, turn: int) -> DataFrame:
-    """(key, n, chosen) of the blocks that are still open. Chosen: those that are among the largest 4^turn blocks of any of their labels, for these join most and leave little to do in the others."""
+    """(key, n, chosen) of the blocks that are still open. Chosen: those that are among the largest 8^turn blocks of any of their labels, for these join most and leave little to do in the others."""
     x = named.join(blocks, "key").select("key", "n", "label").distinct()
     place = F.row_number().over(W.partitionBy("label").orderBy(F.col("n").desc(), "key"))
     x = x.select("key", "n", "label", place.alias("place")).groupBy("key", "n").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("place").alias("place"))
-    return x.filter("low < high").select("key", "n", (F.col("place") <= 4**turn).alias("chosen"))
+    return x.filter("low < high").select("key", "n", (F.col("place") <= 8**turn).alias("chosen"))
 
 
 def join_ngrams(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, outer: int = 80, inner: int = 100) -> DataFrame:
