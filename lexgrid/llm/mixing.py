@@ -42,10 +42,11 @@ def mix(docs: DataFrame, *, size: Column | None = None, doc_id: str = "doc_id",
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in OWN])
     mine = docs.columns
     n = F.greatest(F.coalesce(size.cast("long") if size is not None else word_count(F.col("text")), F.lit(0).cast("long")), F.lit(0).cast("long"))
-    rows = docs.select("*", n.alias("mix_size"))
+    # the row in one column, so that no name of its clashes
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in mine]).alias("row"), F.col(f"`{doc_id}`").alias("row_id"), F.col(f"`{source}`").alias("row_source"), n.alias("mix_size"))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col("mix_id").cast("string")))
     groups = written(
-        rows.groupBy(F.col(f"`{doc_id}`").alias("mix_id"), F.col(f"`{source}`").alias("mix_source"), F.col("mix_size").alias("group_size")).agg(F.count(F.lit(1)).alias("copies")).select("*", key.alias("key")),
+        rows.groupBy(F.col("row_id").alias("mix_id"), F.col("row_source").alias("mix_source"), F.col("mix_size").alias("group_size")).agg(F.count(F.lit(1)).alias("copies")).select("*", key.alias("key")),
         "mix_groups",
     )
     bits = min(KEY_BITS, max(0, math.ceil(math.log2(max(1, groups.count()) / bucket_rows))))
@@ -59,12 +60,12 @@ def mix(docs: DataFrame, *, size: Column | None = None, doc_id: str = "doc_id",
     g = groups.select("mix_id", "mix_source", "group_size", "range", within.alias("within"), "copies")
     g = g.join(starts, same(g, starts, "mix_source", "range")).select(g["*"], starts["range_start"])
     g = g.join(goals, same(g, goals, "mix_source")).select("mix_id", g["mix_source"], "group_size", "copies", (F.col("range_start") + F.col("within")).alias("start"), "source_size", "target", "epochs", "rest")
-    met = rows.join(g, [rows[f"`{doc_id}`"].eqNullSafe(g["mix_id"]), rows[f"`{source}`"].eqNullSafe(g["mix_source"]), rows["mix_size"].eqNullSafe(g["group_size"])])
-    copy = F.row_number().over(W.partitionBy("mix_id", "mix_source", "group_size").orderBy(F.xxhash64(*[rows[f"`{c}`"] for c in mine]))) - 1
-    met = met.select(rows["*"], "copies", "start", "source_size", "target", "epochs", "rest", copy.alias("copy"))
+    met = rows.join(g, [rows["row_id"].eqNullSafe(g["mix_id"]), rows["row_source"].eqNullSafe(g["mix_source"]), rows["mix_size"].eqNullSafe(g["group_size"])])
+    copy = F.row_number().over(W.partitionBy("mix_id", "mix_source", "group_size").orderBy(F.xxhash64("row"))) - 1
+    met = met.select("row", "mix_size", "start", "source_size", "target", "epochs", "rest", copy.alias("copy"))
     left = F.col("rest") - F.col("start") - F.col("copy") * F.col("mix_size")
     taken = F.col("epochs") * F.col("mix_size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("mix_size"), left))
-    return met.select(*[F.col(f"`{c}`") for c in mine], "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), taken.alias("mix_taken"))
+    return met.select(*[F.col(f"row.`{c}`") for c in mine], "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), taken.alias("mix_taken"))
 
 
 def first_words(text: Column, n: Column) -> Column:

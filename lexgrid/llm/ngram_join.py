@@ -77,40 +77,58 @@ def class_of(members: np.ndarray) -> int:
 def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int, bands: Bands) -> DataFrame:
     """(class, n, members, bits) for wanted (class, rep), from the text of the document rep. members: its shingles' hashes, sorted; bits: its sketch of single bits.
 
-    A Bloom filter of the wanted ids, of bounded size, picks the documents where they are read, so that no text is shuffled; the classes are then compared exactly.
+    A Bloom filter of the wanted pairs of class and id, of bounded size, picks the documents where they are read, so that neither texts nor sets are shuffled. The few others that it lets through do no harm: nothing asks for them. A class that several tasks read has a row from each.
     """
     size = size_of(wanted.count())
+    both = lambda ids, names: mixed(mixed(ids.to_numpy().view(np.uint64)) ^ names)
 
     def fill(batches):
         seen = Seen(size)
         for batch in batches:
-            seen.add(mixed(batch.column(0).to_numpy().view(np.uint64)))
+            seen.add(both(batch.column(0), batch.column(1).to_numpy().view(np.uint64)))
         yield from seen.batches()
 
-    ids = filled(wanted.select("rep").mapInArrow(fill, Seen.SCHEMA), size)
+    pairs = filled(wanted.select("rep", "class").mapInArrow(fill, Seen.SCHEMA), size)
 
     def make(batches):
         import pyarrow as pa
 
-        filter_ = np.frombuffer(ids.value, np.uint8)
+        filter_, done = np.frombuffer(pairs.value, np.uint8), set()
         for batch in batches:
-            a, b = places(mixed(batch.column(0).to_numpy().view(np.uint64)), size)
-            out = [shingles(batch.column(1)[int(k)].as_py(), width) for k in np.flatnonzero(test(filter_, a) & test(filter_, b))]
-            out = [m for m in out if len(m)]
-            columns = [pa.array([class_of(m) for m in out], pa.int64()), pa.array([len(m) for m in out], pa.int64()), pa.array([m.tobytes() for m in out], pa.binary()), pa.array([parity_bits(m, bands) for m in out], pa.binary())]
+            made = [shingles(x.as_py(), width) for x in batch.column(1)]
+            names = np.array([class_of(m) for m in made], np.int64)
+            a, b = places(both(batch.column(0), names.view(np.uint64)), size)
+            out = []
+            for k in np.flatnonzero(test(filter_, a) & test(filter_, b)):
+                if len(made[k]) and int(names[k]) not in done:
+                    done.add(int(names[k]))
+                    out.append((int(names[k]), made[k]))
+            columns = [pa.array([k for k, _ in out], pa.int64()), pa.array([len(m) for _, m in out], pa.int64()), pa.array([m.tobytes() for _, m in out], pa.binary()), pa.array([parity_bits(m, bands) for _, m in out], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["class", "n", "members", "bits"])
 
     rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LEAST)).alias("id"), F.col(f"`{text}`").alias("text"))
-    made = rows.mapInArrow(make, "class long, n long, members binary, bits binary")
-    return made.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
+    return rows.mapInArrow(make, "class long, n long, members binary, bits binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link."""
-    sizes = sets.select("class", "n")
-    fits = (F.lit(bands.inner) * F.least("n_a", "n_b") >= F.lit(bands.outer) * F.greatest("n_a", "n_b"))
-    x = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").filter(fits).select("a", "b")
-    x = x.join(sets.select(F.col("class").alias("a"), F.col("members").alias("one")), "a").join(sets.select(F.col("class").alias("b"), F.col("members").alias("other")), "b")
+    """The pairs (a, b) of classes whose sets link: first by sizes and sketches of single bits, which leave little more than links, then by whole sets."""
+    short = sets.select("class", "n", "bits")
+
+    def sketched(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for n_a, n_b, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
+                keep.append(apart * (bands.inner + bands.outer) <= (n_a + n_b) * (bands.inner - bands.outer))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    fits = F.lit(bands.inner) * F.least("n_a", "n_b") >= F.lit(bands.outer) * F.greatest("n_a", "n_b")
+    near = pairs.join(short.toDF("a", "n_a", "one"), "a").join(short.toDF("b", "n_b", "other"), "b").filter(fits).select("a", "b", "n_a", "n_b", "one", "other")
+    near = written(near.mapInArrow(sketched, "a long, b long").distinct(), "near")
+    x = near.join(sets.select(F.col("class").alias("a"), F.col("members").alias("one")), "a").join(sets.select(F.col("class").alias("b"), F.col("members").alias("other")), "b")
 
     def check(batches):
         import pyarrow as pa
@@ -124,7 +142,7 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
                 keep.append(bands.link(len(np.intersect1d(mine, there, assume_unique=True)), len(mine), len(there)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return x.select("a", "b", "one", "other").mapInArrow(check, "a long, b long")
+    return x.select("a", "b", "one", "other").mapInArrow(check, "a long, b long").distinct()
 
 
 def within(rows: DataFrame, bands: Bands, turn: int) -> DataFrame:
@@ -171,7 +189,7 @@ def within(rows: DataFrame, bands: Bands, turn: int) -> DataFrame:
                     yield told(now[0], group)
                     group = []
                 now = (key, i, j)
-                group += [(m["class"], m["label"], chunk, m["failed"], m["n"], m["bits"], i == j) for m in members]
+                group += {m["class"]: (m["class"], m["label"], chunk, m["failed"], m["n"], m["bits"], i == j) for m in members}.values()
         if group:
             yield told(now[0], group)
 
@@ -202,10 +220,13 @@ def join_ngrams(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     for_python(spark)
     bands = Bands(outer, inner)
-    all_rows = written(prints(docs, doc_id, text, width, bands), "prints")
-    rows = written(repeated_blocks(all_rows.filter("keys is not null").select("class", "keys")), "blocks")
+    sketched = written(prints(docs, doc_id, text, width, bands), "sketches")
+    all_rows = written(sketched.select("doc_id", "n_shingles", "class"), "prints")
+    rows = written(repeated_blocks(sketched.filter("keys is not null").select("class", "keys")), "blocks")
+    dropped(sketched)
     multi = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
     members = written(rows.join(multi, "key").select("key", "class", "low").distinct(), "members")
+    dropped(rows)
     reps = all_rows.filter("n_shingles > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("rep"))
     wanted = written(reps.join(members.select("class").distinct(), "class"), "wanted")
     sets = written(sets_of(docs, wanted, doc_id, text, width, bands), "sets")
@@ -241,5 +262,5 @@ def join_ngrams(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     ends = ends.join(least, "label").select(F.col("class").alias("end_class"), F.when(F.col("component") != LEAST, F.col("component")).alias("component"))
     out = all_rows.select("doc_id", "n_shingles", "class").join(ends, F.col("class") == F.col("end_class"), "left")
     out = written(out.select("doc_id", "n_shingles", F.col("class").alias("class_id"), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")), "joined")
-    dropped(all_rows, rows, members, wanted, sets)
+    dropped(all_rows, members, wanted, sets)
     return out

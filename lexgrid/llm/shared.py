@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -114,10 +115,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete written() tables that nothing will read again."""
+    """Delete written() tables that nothing will read again, and let Spark's cleaner find the shuffle files of plans that nothing holds any more."""
     for t in tables:
         at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_at)
         at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -40,7 +40,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, url: str
     Null URLs, URLs without :// and empty hosts fit no rule. Repeated rows stay, each judged. An empty table gives an empty one. Columns of pages that have the new names are dropped. No rules: all get `default`.
     """
     spark, new = pages.sparkSession, ("url_host", "url_path", "url_rule", "url_verdict")
-    u, kept = f"`{url}`", [F.col(f"`{c}`") for c in pages.columns if c.lower() not in new]
+    pages = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() not in new])
+    u, kept = f"`{url}`", [F.col(f"`{c}`") for c in pages.columns]
     host, path = split_url(F.col(u))
     if not rules:
         return pages.select(*kept, host.alias("url_host"), path.alias("url_path"), F.lit(None).cast("string").alias("url_rule"), F.lit(default).alias("url_verdict"))
