@@ -42,18 +42,11 @@ def uri(spark: SparkSession, path: str) -> str:
     return full if "://" in full else full.replace(":/", ":///", 1)
 
 
-def open_folder(path: str):
-    """(file system, path in it) of a URI; on the local file system the folder, or that of a file, is made."""
-    import os
-
+def file_system(path: str):
+    """(file system, path in it) of a URI, for Python on executors."""
     from pyarrow import fs
 
-    files, at = fs.FileSystem.from_uri(path)
-    if isinstance(files, fs.LocalFileSystem):
-        os.makedirs(at if "." not in at.rpartition("/")[2] else os.path.dirname(at), exist_ok=True)
-    else:
-        files.create_dir(at, recursive=True) if "." not in at.rpartition("/")[2] else None
-    return files, at
+    return fs.FileSystem.from_uri(path)
 
 
 _shipped: set[str] = set()

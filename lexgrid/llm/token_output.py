@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexgrid.llm.encoding import default_vocabulary, encoder
-from lexgrid.llm.shared import fresh_path, open_folder, for_python, uri, written
+from lexgrid.llm.shared import fresh_path, file_system, for_python, uri, written
 from lexgrid.llm.token_file import Reader, Writer
 
 MANIFEST = "shard long, path string, docs long, tokens long"
@@ -40,7 +40,8 @@ def write_tokens(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if writer is None:
-                    files, at = open_folder(folder)
+                    files, at = file_system(folder)
+                    files.create_dir(at, recursive=True)
                     path = f"{folder}/part-{shard:06d}-{uuid.uuid4().hex}.lxt"
                     stream = files.open_output_stream(f"{at}/{path.rpartition('/')[2]}")
                     writer = Writer(stream, 2 if max(known.size - 1, end) < 1 << 16 else 4, level)
@@ -68,7 +69,7 @@ def read_tokens(manifest: DataFrame, wanted: list[int] | None = None) -> DataFra
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
             for path, start in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                files, at = open_folder(path)
+                files, at = file_system(path)
                 with files.open_input_file(at) as stream:
                     reader, rows, held = Reader(stream, stream.size()), [], 0
                     sizes = [int(reader.table[reader.first[k] : reader.first[k + 1], 1].sum()) // reader.width for k in range(len(reader))]
