@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexgrid.llm.encoding import default_vocabulary, encoder
-from lexgrid.llm.shared import fresh_path, file_system, for_python, uri, written
+from lexgrid.llm.shared import file_system, for_python, fresh_path, uri, written
 from lexgrid.llm.token_file import Reader, Writer
 
 MANIFEST = "shard long, path string, docs long, tokens long"
