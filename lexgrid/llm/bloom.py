@@ -9,8 +9,8 @@ import numpy as np
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-#: Bits of a filter for each item, and at most (64 MB). Over that it lets more pass to the exact stage behind it; results are the same.
-BITS_EACH, MOST_BITS = 16, 1 << 29
+#: Bits of a filter for each item, and at most (32 MB). Over that it lets more pass to the exact stage behind it; results are the same.
+BITS_EACH, MOST_BITS = 16, 1 << 28
 #: Bits in a block of a filter: what is sent and merged at a time.
 BLOCK = 1 << 16
 

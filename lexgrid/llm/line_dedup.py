@@ -70,6 +70,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                     yield pa.RecordBatch.from_pydict({"key": pa.array([keys[i] for i in hit], pa.binary()), "id": pa.array([ids[i] for i in hit], pa.int64())})
 
     suspects = written(narrow.mapInArrow(suspect, "key binary, id long"), "suspects")
+    again.destroy()
     repeated = suspects.groupBy("key").agg(F.count_distinct("id").alias("docs"), F.max("id").alias("holder")).filter(F.col("docs") >= least_docs)
     drops = suspects.join(repeated, "key").filter(F.col("id") < F.col("holder")).groupBy(F.col("id").alias("_drop_id")).agg(F.collect_set("key").alias("_drops"))
 

@@ -63,7 +63,9 @@ def repeated_blocks(rows: DataFrame) -> DataFrame:
             own = pa.array(np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy()))
             yield pa.RecordBatch.from_arrays([own.take(hit), keys.take(hit)], names=["class", "key"])
 
-    return rows.mapInArrow(pick, "class long, key long")
+    out = written(rows.mapInArrow(pick, "class long, key long"), "blocks")
+    again.destroy()
+    return out
 
 
 def class_of(members: np.ndarray) -> int:
@@ -107,7 +109,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: i
             yield pa.RecordBatch.from_arrays(columns, names=["class", "n", "members", "bits"])
 
     rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LEAST)).alias("id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(make, "class long, n long, members binary, bits binary")
+    out = written(rows.mapInArrow(make, "class long, n long, members binary, bits binary"), "sets")
+    pairs.destroy()
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
@@ -222,14 +226,14 @@ def join_ngrams(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     bands = Bands(outer, inner)
     sketched = written(prints(docs, doc_id, text, width, bands), "sketches")
     all_rows = written(sketched.select("doc_id", "n_shingles", "class"), "prints")
-    rows = written(repeated_blocks(sketched.filter("keys is not null").select("class", "keys")), "blocks")
+    rows = repeated_blocks(sketched.filter("keys is not null").select("class", "keys"))
     dropped(sketched)
     multi = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
     members = written(rows.join(multi, "key").select("key", "class", "low").distinct(), "members")
     dropped(rows)
     reps = all_rows.filter("n_shingles > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("rep"))
     wanted = written(reps.join(members.select("class").distinct(), "class"), "wanted")
-    sets = written(sets_of(docs, wanted, doc_id, text, width, bands), "sets")
+    sets = sets_of(docs, wanted, doc_id, text, width, bands)
     links = written(verified(members.filter("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct(), sets, bands), "links")
     labels = written(components(links, "a", "b"), "labels")
     named = members.join(labels, members["class"] == labels["node"], "left").select("key", "class", F.coalesce("label", "class").alias("label"))
