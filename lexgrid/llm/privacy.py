@@ -75,48 +75,39 @@ def base_spans(text: Column) -> Column:
     return F.concat(*out)
 
 
-def near_terms(text: Column, start: Column, end: Column, reach: int) -> Column:
-    """Terms (runs of three letters or more) up to `reach` code points before and after a span: (start, end, value). A run that the reach cuts is left out, and so is an address, whole or cut."""
-
-    def side(first: Column, last: Column, cut_first: Column, cut_last: Column) -> Column:
-        part = F.substring(text, first + 1, last - first)
-        whole = lambda s: ~(cut_first & (s["start"] == 0)) & ~(cut_last & (s["end"] == last - first))
-        return F.transform(F.filter(matches(part, rf"(?<![\p{{L}}\p{{N}}@._%+-]){TERM}(?![\p{{L}}\p{{N}}@_%+-])"), whole), lambda s: F.struct((s["start"] + first).alias("start"), (s["end"] + first).alias("end"), F.lower(s["value"]).alias("value")))
-
-    before, after = F.greatest(start - reach, F.lit(0)), F.least(end + reach, F.length(text))
-    return F.concat(side(before, start, before > 0, F.lit(False)), side(end, after, F.lit(False), after < F.length(text)))
-
-
-def find_personal(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", reach: int = 120, least_texts: int = 3, remove: float = 0.9, generalise: float = 0.75) -> DataFrame:
+def find_personal(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least_texts: int = 3, remove: float = 0.9, generalise: float = 0.75) -> DataFrame:
     """(doc_id, text_key, base, terms) for each row. base: protected entities (kind, start, end, value); terms: (start, end, value, disclosure) that reveal one. text_key is a hash of the text.
 
-    An entity is an email, IP, card or phone number of some value. A term that stands within `reach` of an entity e in some documents tells PMI(e; t) = log2(p(e, t) / p(e) p(t)) about it, of the IC(e) = -log2 p(e) that the entity holds; p are shares of all documents, so p(t) counts every term of every whole text. Where PMI / IC reaches `generalise`, and at least least_texts different texts show e and t together, the term's occurrences near that entity are reported with that ratio as disclosure; from `remove` on they are to go, below to be generalised. A single text and its copies are no evidence: every rare word of theirs would seem to reveal.
-    Terms inside base spans aren't reported. Null text is empty and has no spans. Copies and repeated rows have the same spans. An empty table gives an empty one. Other columns are not read. Entities of each text are found once and written to the shared folder; pairs of entity and term are linear in spans, as reach bounds the terms of each, and are pre-aggregated before they are shuffled.
+    An entity is an email, IP, card or phone number of some value; a term is a whole run of three letters or more, in lower case. A term that stands in some of the documents of an entity e, however far from it, tells PMI(e; t) = log2(p(e, t) / p(e) p(t)) about it, of the IC(e) = -log2 p(e) that the entity holds; p are shares of all documents, and whole texts count for all three. Where PMI / IC reaches `generalise`, and at least least_texts different texts hold e and t, every occurrence of the term in every document is reported, with the largest such ratio as disclosure; from `remove` on they are to go, below to be generalised. A single text and its copies are no evidence: every rare word of theirs would seem to reveal.
+    Occurrences that overlap base spans aren't reported. Null text is empty and has no spans. Copies and repeated rows have the same spans. An empty table gives an empty one. Other columns are not read. Entities and distinct terms of each text are found once and written to the shared folder. Only entities of least_texts texts meet the terms of their texts; the pairs are pre-aggregated before they are shuffled. Only texts that hold a reported term are searched for its places.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
     key = F.md5(t.cast("binary"))
     narrow = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    with_terms = F.transform(F.col("base"), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), near_terms(F.col("t"), s["start"], s["end"], reach).alias("near")))
-    rows = narrow.select("doc_id", key.alias("text_key"), t.alias("t"), base_spans(t).alias("base"))
-    rows = written(rows.select("doc_id", "text_key", F.when(F.size("base") > 0, with_terms).alias("base")), "spans")
+    words = F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(t, F.lit(TERM), F.lit(0))), F.lower))
+    rows = narrow.select("doc_id", key.alias("text_key"), base_spans(t).alias("base"), words.alias("words"))
+    rows = written(rows.select("doc_id", "text_key", F.when(F.size("base") > 0, F.col("base")).alias("base"), "words"), "spans")
     n = rows.count()
     held = rows.filter("base is not null")
-    copies = held.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"), F.first("base").alias("base"))
-    entity = F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.value"))
-    each = written(copies.select("text_key", "copies", F.explode("base").alias("s")).select("text_key", "copies", entity.alias("entity"), "s.near"), "entities")
-    entities = each.groupBy("text_key", "entity").agg(F.first("copies").alias("copies")).groupBy("entity").agg(F.sum("copies").alias("n_entity"))
-    seen = each.select("text_key", "copies", "entity", F.explode("near").alias("w")).select("text_key", "copies", "entity", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.value").alias("term"))
-    pairs = seen.groupBy("entity", "term", "text_key").agg(F.first("copies").alias("copies")).groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= least_texts)
-    terms = narrow.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    entity = F.array_distinct(F.transform("base", lambda s: F.concat_ws(":", s["kind"].cast("string"), F.lower(s["value"]))))
+    each = written(held.select("text_key", F.explode(entity).alias("entity")).groupBy("text_key", "entity").agg(F.count(F.lit(1)).alias("copies")), "entities")
+    entities = each.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= least_texts).drop("texts")
+    asked = each.join(entities, "entity").groupBy("text_key").agg(F.first("copies").alias("copies"), F.collect_list("entity").alias("entities"))
+    seen = held.groupBy("text_key").agg(F.first("words").alias("words")).join(asked, "text_key").select("copies", "entities", F.explode("words").alias("term")).select("copies", F.explode("entities").alias("entity"), "term")
+    pairs = seen.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= least_texts)
+    terms = rows.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     content = F.log2(F.lit(float(n)) / F.col("n_entity"))
     told = F.log2(F.col("n_both") * F.lit(float(n)) / (F.col("n_entity") * F.col("n_term")))
-    flagged = pairs.join(entities, "entity").join(terms, "term").select("entity", "term", F.when(content > 0, told / content).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= generalise)
-    hits = seen.join(flagged, ["entity", "term"]).groupBy("text_key", "start", "end", "term").agg(F.max("disclosure").alias("disclosure"))
-    hits = hits.groupBy(F.col("text_key").alias("hit_key")).agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("term").alias("value"), "disclosure"))).alias("hits"))
-    base = F.coalesce(F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))), F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>"))
+    flagged = pairs.join(entities, "entity").join(terms, "term").select("term", F.when(content > 0, told / content).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= generalise)
+    flagged = written(flagged.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "flagged")
+    asked = rows.select("text_key", F.explode("words").alias("term")).join(flagged, "term").groupBy(F.col("text_key").alias("hit_key")).agg(F.map_from_entries(F.collect_set(F.struct("term", "disclosure"))).alias("told"))
+    texts = narrow.select(key.alias("text_key"), t.alias("t")).join(written(asked, "asked").hint("shuffle_hash"), F.col("text_key") == F.col("hit_key"))
+    places = F.transform(matches(F.col("t"), TERM), lambda s: let(F.lower(s["value"]), lambda v: F.struct(s["start"].alias("start"), s["end"].alias("end"), v.alias("value"), F.try_element_at("told", v).alias("disclosure"))))
+    hits = texts.select("hit_key", F.filter(places, lambda h: h["disclosure"].isNotNull()).alias("hits")).groupBy("hit_key").agg(F.first("hits").alias("hits"))
+    base = F.coalesce("base", F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>"))
     free = F.filter("hits", lambda h: ~F.exists(F.col("base"), lambda s: (s["start"] < h["end"]) & (h["start"] < s["end"])))
-    out = rows.join(hits, F.col("text_key") == F.col("hit_key"), "left")
-    return out.select("doc_id", "text_key", base.alias("base"), F.coalesce(free, F.array().cast("array<struct<start:int,end:int,value:string,disclosure:double>>")).alias("terms"))
+    out = rows.select("doc_id", "text_key", base.alias("base")).join(hits, F.col("text_key") == F.col("hit_key"), "left")
+    return out.select("doc_id", "text_key", "base", F.coalesce(free, F.array().cast("array<struct<start:int,end:int,value:string,disclosure:double>>")).alias("terms"))
 
 
 def sanitise(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", remove: float = 0.9, **how) -> DataFrame:

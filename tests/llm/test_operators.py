@@ -163,6 +163,21 @@ def test_terms_that_reveal_an_entity(spark, docs, empty):
     assert find_personal(empty).count() == 0 and sanitise(empty).count() == 0
 
 
+def test_terms_that_reveal_are_found_in_whole_documents_and_everywhere(spark):
+    from lexgrid.llm.privacy import find_personal, sanitise
+
+    gap = "common things and weather today " * 20
+    far = [(k, f"Quixote {k} {gap} jo@ex.org {gap} QUIXOTE", "a") for k in range(1, 4)]
+    others = [(10, f"{gap} only quixote here, and again x.quixote", "a"), (11, None, "a")]
+    filler = [(100 + k, f"ordinary text number{k} {gap}", "a") for k in range(600)]
+    df = docs_of(spark, far + others + filler)
+    found = {r.doc_id: [(t.value, t.start, t.end) for t in r.terms] for r in find_personal(df).collect()}
+    for k, text, _ in far + others:
+        assert found[k] == [("quixote", m.start(), m.end()) for m in re.finditer("quixote", (text or "").lower())], k
+    assert not any(found[k] for k, _, _ in filler)
+    assert not any("quixote" in (r.text or "").lower() for r in sanitise(df).collect())
+
+
 def test_quality_model_held_out_accuracy_and_edges(spark, docs, empty):
     from lexgrid.llm.quality_model import fold, learn, score, statistics
 
