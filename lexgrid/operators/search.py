@@ -52,6 +52,14 @@ def cases(patterns: DataFrame, step: int) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
+def with_short(hits: DataFrame, corpus: DataFrame, patterns: DataFrame, step: int) -> DataFrame:
+    """hits and the occurrences of patterns of fewer than `step` bytes, as case 0."""
+    short = patterns.filter(F.col("m") < step)
+    if short.isEmpty():
+        return hits
+    return hits.unionByName(naive_scan(corpus, short).select("pattern_id", F.lit(0).alias("k"), "doc_id", "pos"))
+
+
 def locate(points: DataFrame, corpus: DataFrame, patterns: DataFrame, step: int) -> DataFrame:
     """(pattern_id, k, doc_id, pos) of every occurrence, overlaps included.
 
@@ -64,11 +72,7 @@ def locate(points: DataFrame, corpus: DataFrame, patterns: DataFrame, step: int)
     first = points.join(side(asked.filter("k = 1").drop("cy")), "cx").filter(starts)
     other = points.filter("y is not null").join(side(asked.filter("k > 1")), ["cx", "cy"]).filter(starts & F.col("y").between(F.col("ymin"), F.col("ymax")))
     columns = ["pattern_id", "k", "doc_id", (F.col("pos") - F.col("n2")).alias("pos")]
-    hits = first.select(*columns).unionByName(other.select(*columns))
-    short = patterns.filter(F.col("m") < step)
-    if short.isEmpty():
-        return hits
-    return hits.unionByName(naive_scan(corpus, short).select("pattern_id", F.lit(0).alias("k"), "doc_id", "pos"))
+    return with_short(first.select(*columns).unionByName(other.select(*columns)), corpus, patterns, step)
 
 
 def count(points: DataFrame, corpus: DataFrame, patterns: DataFrame, step: int) -> DataFrame:
@@ -80,10 +84,11 @@ def count(points: DataFrame, corpus: DataFrame, patterns: DataFrame, step: int)
 
 
 def locate_by_ranges(pts: DataFrame, samples: DataFrame, corpus: DataFrame, patterns: DataFrame, step: int) -> DataFrame:
-    """The same by two steps: the range of ranks of p1 among the sampled suffixes, then the points of the cell with x in that range and y in its bounds."""
+    """The same by two steps: the range of ranks of p1 among the sampled suffixes, then the points of the cell with x in that range and y in its bounds. Patterns of fewer than `step` bytes scan the texts."""
     asked = cases(patterns, step)
     ranges = suffix_range(samples.select("doc_id", F.col("x").alias("rank"), "pos"), corpus, asked.select(F.struct("pattern_id", "k").alias("pattern_id"), F.col("p1").alias("p"), F.col("m1").cast("long").alias("m"))).filter("lo >= 0")
     boxes = ranges.select("doc_id", "lo", "hi", "pattern_id.*").join(asked, ["pattern_id", "k"])
     one = boxes.filter("k = 1").select("doc_id", "pattern_id", "k", "lo", "hi").join(samples, "doc_id").filter("x between lo and hi").select("pattern_id", "k", "doc_id", "pos")
     more = boxes.filter("k > 1").join(pts, ["doc_id", "cx", "cy"]).filter("x between lo and hi and y between ymin and ymax")
-    return one.unionByName(more.select("pattern_id", "k", "doc_id", (F.col("pos") - F.col("n2")).alias("pos")))
+    hits = one.unionByName(more.select("pattern_id", "k", "doc_id", (F.col("pos") - F.col("n2")).alias("pos")))
+    return with_short(hits, corpus, patterns, step)

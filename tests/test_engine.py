@@ -64,6 +64,15 @@ def test_locate_equals_naive_scan_whatever_the_step(spark, step):
     assert counts == {k: sum(x[0] == k for x in want) for k in range(len(patterns))}
 
 
+@pytest.mark.parametrize("step", [2, 4])
+def test_locate_by_ranges_scans_for_short_patterns(spark, step):
+    texts, patterns = [b"mississipi", b"banana", b"", None, b"i"], [b"i", b"na", b"issi", b"x", b"ana"]
+    c = make(spark, *texts)
+    samples = sx.suffix_array(c, step).withColumnRenamed("rank", "x")
+    got = search.locate_by_ranges(pt.points(c, samples, step), samples, c, src.patterns(spark, patterns), step)
+    assert rows(got, "pattern_id", "doc_id", "pos") == naive(texts, patterns)
+
+
 def test_empty_and_null_patterns(spark):
     c = make(spark, b"ab", b"")
     p = spark.createDataFrame([(0, bytearray(b"")), (1, None)], "pattern_id long, p binary").withColumn("m", F.octet_length("p").cast("long"))
