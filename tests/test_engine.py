@@ -159,6 +159,29 @@ def test_index_round_trip_and_stream(spark, tmp_path):
     assert rows(spark.table("hits"), "pattern_id", "doc_id", "pos") == [x for x in want if len(patterns[x[0]].encode()) >= 2]
 
 
+def test_stream_of_short_and_long_patterns(spark, tmp_path):
+    from lexgrid.streaming.patterns import stream_locate
+
+    texts, patterns = [b"mississipi banana mississipi", b"banana", b"issi"], [b"i", b"na", b"sissipi banana miss", b"mississipi banana", b"sissipi bananas", b"issippy", b""]
+    c, pts = make(spark, *texts), pt.keyed_points(make(spark, *texts), 3, 4)
+
+    def hits(some, name, *corpus):
+        src.patterns(spark, some).write.parquet(str(tmp_path / name))
+        stream = spark.readStream.schema("pattern_id long, p binary, m long").parquet(str(tmp_path / name))
+        q = stream_locate(stream, pts, 3, *corpus).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}_cp")).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        return rows(spark.table(name), "pattern_id", "doc_id", "pos")
+
+    assert hits(patterns, "all_hits", c) == naive(texts, patterns)
+    assert hits([b"issi"], "fits") == naive(texts, [b"issi"])
+    for name, some in (("too_short", [b"na"]), ("too_long", [b"mississipi banana"])):
+        with pytest.raises(Exception, match="needs the corpus"):
+            hits(some, name)
+
+
 def test_entries(spark):
     import __spark_entry__ as e
 
