@@ -208,11 +208,12 @@ def open_blocks(named: DataFrame) -> DataFrame:
 
 
 def next_blocks(named: DataFrame, blocks: DataFrame, turn: int) -> DataFrame:
-    """(key, n, chosen) of the blocks that are still open. Chosen: those that are among the largest 8^turn blocks of any of their labels, for these join most and leave little to do in the others."""
+    """(key, n, chosen) of the blocks that are still open. Chosen: those that are among the largest 8^turn open blocks of any of their labels, so that some are while any is open; for these join most and leave little to do in the others."""
     x = named.join(blocks, "key").select("key", "n", "label").distinct()
+    own = W.partitionBy("key")
+    x = x.select("key", "n", "label", F.min("label").over(own).alias("low"), F.max("label").over(own).alias("high")).filter("low < high")
     place = F.row_number().over(W.partitionBy("label").orderBy(F.col("n").desc(), "key"))
-    x = x.select("key", "n", "label", place.alias("place")).groupBy("key", "n").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("place").alias("place"))
-    return x.filter("low < high").select("key", "n", (F.col("place") <= 8**turn).alias("chosen"))
+    return x.select("key", "n", place.alias("place")).groupBy("key", "n").agg((F.min("place") <= 8**turn).alias("chosen"))
 
 
 def join_ngrams(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, outer: int = 80, inner: int = 100) -> DataFrame:

@@ -356,6 +356,16 @@ def test_ngram_join_equals_brute_force(spark, width, outer):
     assert got == brute_join(rows, width, outer, 100)
 
 
+def test_closed_blocks_take_no_places(spark):
+    from lexgrid.llm.ngram_join import next_blocks
+
+    # eight closed blocks of each label are larger than the only open one
+    closed = [(10 * label + k, c, label) for label in (1, 2) for k in range(8) for c in range(100 * label, 100 * label + 5)]
+    named = spark.createDataFrame([*closed, (99, 100, 1), (99, 200, 2)], "key long, class long, label long")
+    blocks = named.groupBy("key").agg(F.count("*").alias("n"))
+    assert [tuple(r) for r in next_blocks(named, blocks, 1).collect()] == [(99, 2, True)]
+
+
 def test_ngram_join_edges(spark, docs, empty):
     from lexgrid.llm.ngram_join import join_ngrams
 
