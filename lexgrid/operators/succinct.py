@@ -169,10 +169,12 @@ def matching_parentheses(bits: DataFrame) -> DataFrame:
     return x.withColumn("close", nxt).filter("bit = 1").select("doc_id", F.col("i").alias("open"), "close")
 
 
-def matching_statistics(one: DataFrame, other: DataFrame, most: int) -> DataFrame:
-    """(doc_id, pos, longest): for each position of `other`, the longest prefix of its suffix, up to `most` bytes, that occurs in the text of `one` of the same id. Substrings of one length meet as hashes of their bytes; lengths are halved in, as an occurrence of a prefix is one of all shorter ones."""
+def matching_statistics(one: DataFrame, other: DataFrame, most: int | None = None) -> DataFrame:
+    """(doc_id, pos, longest): for each position of `other`, the longest prefix of its suffix, up to `most` bytes (default: as long as the longest text of the side whose texts are shorter), that occurs in the text of `one` of the same id. Substrings of one length meet as hashes of their bytes; lengths are halved in, as an occurrence of a prefix is one of all shorter ones."""
     at = lambda df: df.filter("n > 0").select("doc_id", "text", "n", F.explode(F.sequence(zero(), F.col("n") - 1)).alias("pos"))
     a, now = at(one), at(other).withColumn("longest", zero())
+    if most is None:
+        most = max(1, min(x.agg(F.max("n")).first()[0] or 0 for x in (one, other)))
     bit = 1 << (most.bit_length() - 1)
     while bit:
         cut = lambda n: F.substring("text", (F.col("pos") + 1).cast("int"), n.cast("int"))

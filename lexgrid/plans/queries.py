@@ -401,7 +401,7 @@ def v24_matching_parentheses(spark, d):
 def v29_matching_statistics(spark, d):
     types = src.corpus(read(spark, d, "part").filter("p_name is not null"), F.col("p_partkey"), F.col("p_type"))
     other = src.corpus(read(spark, d, "part").filter("p_type is not null"), F.col("p_partkey"), F.col("p_name"))
-    return succinct.matching_statistics(types, other, 64)
+    return succinct.matching_statistics(types, other)
 
 
 @query(f"{WITH_SA}, x as (select doc_id, rank, pos, lag(suf) over (partition by doc_id order by rank) < suf as up, n from sa) select doc_id, bool_and(coalesce(up, true)) as ordered, count(distinct pos) = any_value(n) and min(pos) = 0 and max(pos) = any_value(n) - 1 as permutation from x group by 1")

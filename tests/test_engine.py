@@ -182,6 +182,16 @@ def test_stream_of_short_and_long_patterns(spark, tmp_path):
             hits(some, name)
 
 
+def test_matching_statistics_of_long_texts(spark, tmp_path):
+    from lexgrid.plans.queries import v29_matching_statistics
+
+    name = "".join(chr(97 + k * k % 23) + str(k) for k in range(60))
+    spark.createDataFrame([(1, name, "x" + name[5:120] + "y"), (2, "", "z")], "p_partkey long, p_name string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    t = "x" + name[5:120] + "y"
+    want = [(1, i, max(k for k in range(len(name) - i + 1) if name[i : i + k] in t)) for i in range(len(name))]
+    assert max(k for _, _, k in want) > 64 and rows(v29_matching_statistics(spark, str(tmp_path)), "doc_id", "pos", "longest") == want
+
+
 def test_entries(spark):
     import __spark_entry__ as e
 
