@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where that is unset, as in tests, a folder of this process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir of the session, or the checkpoint folder of its context. Where both are unset, a folder of this process in local mode, as in tests; on a cluster that is an error, for executors see no folder of the driver's."""
     context = spark.sparkContext._jsc.sc()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not context.getCheckpointDir().isDefined():
+        if not folder and not context.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='lexgrid-')}")
     return folder or context.getCheckpointDir().get()
 
