@@ -14,6 +14,8 @@ from lexgrid.llm.shared import for_python, written
 
 #: Vectors in a shard and queries in a block, at most.
 SHARD, BLOCK = 4096, 256
+#: Rows of an Arrow batch where each holds a tree and a block of queries, megabytes.
+TREE_ROWS = 8
 LEAST = -(1 << 63)
 
 
@@ -48,8 +50,7 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, vec_id: str = "ve
     Rows are dealt into shards of SHARD, each kept as a ball tree in the shared folder; queries into blocks of BLOCK. Each block first searches one shard, whose k-th scores bound every later search; then every block meets every shard, and k-th scores pass on from shard to shard within a task. A query set against all rows, in blocks, is that many products at worst; the bounds leave out what can't win.
     Vectors that are null, empty or hold a null or non-finite component take no part; nor do null ids. Vectors meet only vectors of their length. A row of the query's id isn't its candidate; other rows of one id are candidates each; of rows of one id the smallest vector asks. No queries or an empty table give an empty result. Other columns are not read.
     """
-    spark = vectors.sparkSession
-    for_python(spark)
+    for_python(vectors.sparkSession)
     all_rows = written(vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), whole_numbers(F.col(f"`{vector}`"), scale).alias("v"), queries.alias("asks")).filter("id is not null and v is not null"), "vectors")
     asked = all_rows.filter("asks").groupBy("id").agg(F.min("v").alias("v"))
     n_shards, n_blocks = -(-all_rows.count() // SHARD) or 1, -(-asked.count() // BLOCK) or 1
@@ -91,12 +92,10 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, vec_id: str = "ve
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     out = "query_id long, vec_id long, score long, wide int, block int, floor binary"
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)  # rows of megabytes
     counted = blocks.join(F.broadcast(there), F.col("wide") == F.col("w"))
     first = counted.withColumn("shard", F.col("block") % F.col("shards")).drop("w", "shards")
-    seed = written(first.join(shards, ["wide", "shard"]).select("wide", "block", "ids", "rows", "tree", F.lit(None).cast("binary").alias("floor")).mapInArrow(search, out).filter("floor is not null").select("wide", "block", "floor"), "seeds")
+    seed = written(first.join(shards, ["wide", "shard"]).select("wide", "block", "ids", "rows", "tree", F.lit(None).cast("binary").alias("floor")).mapInArrow(search, out).filter("floor is not null").select("wide", "block", "floor"), "seeds", TREE_ROWS)
     pairs = counted.join(seed, ["wide", "block"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards").cast("int") - 1))).drop("w", "shards")
-    found = written(pairs.join(shards, ["wide", "shard"]).select("wide", "block", "ids", "rows", "tree", "floor").mapInArrow(search, out).filter("query_id is not null").select("query_id", "vec_id", "score"), "found")
-    for_python(spark)
+    found = written(pairs.join(shards, ["wide", "shard"]).select("wide", "block", "ids", "rows", "tree", "floor").mapInArrow(search, out).filter("query_id is not null").select("query_id", "vec_id", "score"), "found", TREE_ROWS)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexgrid.llm.shared import with_text, word_count, written
+from lexgrid.llm.shared import as_row, of_row, of_row_with_text, tie_order, word_count, written
 
 #: The lowest of the 28 bits of a hash key that number its bucket.
 KEY_BITS = 28
@@ -32,18 +32,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return x.select("mix_source", "source_size", "target", epochs.alias("epochs"), (budget - epochs * F.col("source_size")).alias("rest"))
 
 
-def mix(docs: DataFrame, *, size: Column | None = None, doc_id: str = "doc_id", source: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", bucket_rows: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, *, size: Column | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", bucket_rows: int = 1024, columns: bool = True) -> DataFrame:
     """docs' columns, then mix_size, mix_source_size, mix_target (its source's) and mix_taken: the words that the mix takes of the row, repeats counted.
 
     Within a source, rows stand in the order of MD5(seed, id). A source takes whole passes while its budget lasts, then rows in that order up to the exact budget; the row at the cut gives only its first words. So a source's sum of mix_taken is its target, rounded, and reruns agree.
     Prefix sums: a row's key falls into one of about rows / bucket_rows ranges; ranges are summed, summed up in order, and each range's rows are sorted on their own. Rows that agree in id, source and size are counted before they are sorted, so that a repeated row doesn't fill a range.
-    size: a column of whole numbers, else words of the text. A null or negative size counts 0; null ids share one key; null sources are one source, the last. An empty table gives an empty one. Columns of docs that have the new names are dropped. Only DataFrame functions run.
+    size: a column of whole numbers, else words of the text. A null or negative size counts 0; null ids share one key; null sources are one source, the last. An empty table gives an empty one. Texts of any length are counted whole. Columns of docs that have the new names are dropped; with columns=False docs' columns come as one, `row`, and all of them. Only DataFrame functions run.
     """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in OWN])
-    mine = docs.columns
-    n = F.greatest(F.coalesce(size.cast("long") if size is not None else word_count(F.col("text")), F.lit(0).cast("long")), F.lit(0).cast("long"))
+    n = F.greatest(F.coalesce(size.cast("long") if size is not None else word_count(F.col(f"`{text}`")), F.lit(0).cast("long")), F.lit(0).cast("long"))
     # the row in one column, so that no name of its clashes
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in mine]).alias("row"), F.col(f"`{doc_id}`").alias("row_id"), F.col(f"`{source}`").alias("row_source"), n.alias("mix_size"))
+    rows = as_row(docs, row_id=F.col(f"`{doc_id}`"), row_source=F.col(f"`{source}`"), mix_size=n)
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col("mix_id").cast("string")))
     groups = written(
         rows.groupBy(F.col("row_id").alias("mix_id"), F.col("row_source").alias("mix_source"), F.col("mix_size").alias("group_size")).agg(F.count(F.lit(1)).alias("copies")).select("*", key.alias("key")),
@@ -60,12 +58,19 @@ def mix(docs: DataFrame, *, size: Column | None = None, doc_id: str = "doc_id",
     g = groups.select("mix_id", "mix_source", "group_size", "range", within.alias("within"), "copies")
     g = g.join(starts, same(g, starts, "mix_source", "range")).select(g["*"], starts["range_start"])
     g = g.join(goals, same(g, goals, "mix_source")).select("mix_id", g["mix_source"], "group_size", "copies", (F.col("range_start") + F.col("within")).alias("start"), "source_size", "target", "epochs", "rest")
-    met = rows.join(g, [rows["row_id"].eqNullSafe(g["mix_id"]), rows["row_source"].eqNullSafe(g["mix_source"]), rows["mix_size"].eqNullSafe(g["group_size"])])
-    copy = F.row_number().over(W.partitionBy("mix_id", "mix_source", "group_size").orderBy(F.xxhash64("row"))) - 1
-    met = met.select("row", "mix_size", "start", "source_size", "target", "epochs", "rest", copy.alias("copy"))
+    places = written(g, "mix_places")
+    mine = lambda g: rows.join(g, [rows["row_id"].eqNullSafe(g["mix_id"]), rows["row_source"].eqNullSafe(g["mix_source"]), rows["mix_size"].eqNullSafe(g["group_size"])])
+    # only where copies stand on both sides of the cut does it matter which is which: that is one group for each source at most
+    cut = (F.col("copies") > 1) & (F.col("start") < F.col("rest")) & (F.col("start") + F.col("copies") * F.col("group_size") > F.col("rest"))
+    ties = tie_order(docs, text)
+    if places.filter(cut).isEmpty():
+        met = mine(places).withColumn("copy", F.lit(0))
+    else:
+        copy = F.row_number().over(W.partitionBy("mix_id", "mix_source", "group_size").orderBy(*ties)) - 1
+        met = mine(places.filter(~cut)).withColumn("copy", F.lit(0)).unionAll(mine(places.filter(cut)).withColumn("copy", copy))
     left = F.col("rest") - F.col("start") - F.col("copy") * F.col("mix_size")
     taken = F.col("epochs") * F.col("mix_size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("mix_size"), left))
-    return met.select(*[F.col(f"row.`{c}`") for c in mine], "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), taken.alias("mix_taken"))
+    return met.select(*(of_row(docs.columns, OWN) if columns else ["row"]), "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), taken.alias("mix_taken"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -73,10 +78,11 @@ def first_words(text: Column, n: Column) -> Column:
     return F.array_join(F.slice(F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1), F.lit(1), n.cast("int")), "")
 
 
-def take(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of the mix: each document as often as whole passes take it, and once more, cut after its last word, where a pass ends in it."""
+def take(docs: DataFrame, *, text: str = "text", **how) -> DataFrame:
+    """docs' columns: each document as often as whole passes of mix(docs, **how) take it, and once more, cut after its last word, where a pass ends in it."""
+    mixed = mix(docs, text=text, columns=False, **how)
     whole = F.when(F.col("mix_size") > 0, F.expr("mix_taken div mix_size")).otherwise(F.lit(0))
     part = F.col("mix_taken") - whole * F.col("mix_size")
-    once = mixed.select("*", F.explode(F.when(part > 0, F.sequence(F.lit(0), whole)).when(whole > 0, F.sequence(F.lit(1), whole))).alias("mix_pass"), part.alias("mix_part"))
-    text = F.when(F.col("mix_pass") == 0, first_words(F.col("text"), F.col("mix_part"))).otherwise(F.col("text"))
-    return with_text(once, text).select(*[F.col(f"`{c}`") for c in columns])
+    once = mixed.select("row", F.explode(F.when(part > 0, F.sequence(F.lit(0), whole)).when(whole > 0, F.sequence(F.lit(1), whole))).alias("pass"), part.alias("part"))
+    words = F.when(F.col("pass") == 0, first_words(F.col(f"row.`{text}`"), F.col("part"))).otherwise(F.col(f"row.`{text}`"))
+    return once.select(*of_row_with_text(docs, words, text))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lexgrid.llm.encoding import default_vocabulary, encoder
-from lexgrid.llm.shared import for_python, written
+from lexgrid.llm.shared import as_row, for_python, of_row, written
 
 #: Rows of a plan up to which it is broadcast (40 bytes each).
 BROADCAST_ROWS = 200_000
@@ -94,17 +94,16 @@ def pack(items: DataFrame, *, length: str = "length", capacity: int = 2048, most
     Only counts by length reach the driver, `capacity` rows at most. Each partition numbers its items of a length, counts by partition and length turn these into ranks in the table, and ranks look up the plan.
     Items of null or no length get null sequence and offset. A length over a capacity is an error. Repeated rows are items of their own. An empty table gives an empty one. Columns of items that have the new names are dropped.
     """
-    spark, own = items.sparkSession, ("sequence_id", "offset", "pack_part", "pack_rank")
-    items = items.select(*[F.col(f"`{c}`") for c in items.columns if c.lower() not in own])
-    at = items.columns.index(length)
-    schema = StructType([*items.schema.fields, StructField("pack_part", LongType()), StructField("pack_rank", LongType())])
+    spark, own = items.sparkSession, ("sequence_id", "offset")
+    boxed = as_row(items, length=F.col(f"`{length}`").cast("long"))
+    schema = StructType([*boxed.schema.fields, StructField("part", LongType()), StructField("rank", LongType())])
 
     def ranked(batches):
         import pyarrow as pa
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            x = np.asarray(batch.column(at).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+            x = np.asarray(batch.column(1).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
             if len(x) and x.max() > capacity:
                 raise ValueError(f"an item of {x.max()} tokens exceeds the capacity {capacity}")
             x = np.maximum(x, 0)
@@ -114,20 +113,19 @@ def pack(items: DataFrame, *, length: str = "length", capacity: int = 2048, most
             rank = np.empty(len(x), np.int64)
             rank[order] = np.arange(len(x)) - np.maximum.accumulate(np.where(first, np.arange(len(x)), 0)) + seen[there]
             seen += np.bincount(x, minlength=capacity + 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(x), part)), pa.array(rank)], names=[*batch.schema.names, "pack_part", "pack_rank"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(x), part)), pa.array(rank)], names=["row", "length", "part", "rank"])
 
-    rows = written(items.mapInArrow(ranked, schema), "pack_items")
-    n = F.col(f"`{length}`").cast("long")
-    counts = rows.filter(n > 0).groupBy("pack_part", n.alias("n")).agg(F.count(F.lit(1)).alias("items"))
-    before = F.coalesce(F.sum("items").over(W.partitionBy("n").orderBy("pack_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    totals = {r["n"]: r["items"] for r in counts.groupBy("n").agg(F.sum("items").alias("items")).collect()}
+    rows = written(boxed.mapInArrow(ranked, schema), "pack_items")
+    counts = rows.filter("length > 0").groupBy(F.col("part").alias("start_part"), F.col("length").alias("start_length")).agg(F.count(F.lit(1)).alias("items"))
+    before = F.coalesce(F.sum("items").over(W.partitionBy("start_length").orderBy("start_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    totals = {r["start_length"]: r["items"] for r in counts.groupBy("start_length").agg(F.sum("items").alias("items")).collect()}
     made = plan(totals, capacity, most_docs or capacity, most_attention or capacity * capacity, weights, rule)
-    steps = spark.createDataFrame(made, "step_length long, first long, step_items long, sequence long, offset long")
-    starts = counts.select(F.col("pack_part").alias("start_part"), F.col("n").alias("start_length"), before.alias("before"))
-    x = rows.join(starts, (rows["pack_part"] == starts["start_part"]) & (n == starts["start_length"]), "left").withColumn("pack_rank", F.col("pack_rank") + F.col("before"))
-    on = (n == F.col("step_length")) & (F.col("pack_rank") >= F.col("first")) & (F.col("pack_rank") < F.col("first") + F.col("step_items"))
+    steps = spark.createDataFrame(made, "step_length long, first long, step_items long, sequence long, place long")
+    starts = counts.select("start_part", "start_length", before.alias("before"))
+    x = rows.join(starts, (F.col("part") == F.col("start_part")) & (F.col("length") == F.col("start_length")), "left").withColumn("rank", F.col("rank") + F.col("before"))
+    on = (F.col("length") == F.col("step_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("step_items"))
     x = x.join(F.broadcast(steps) if len(made) <= BROADCAST_ROWS else steps, on, "left")
-    return x.select(*[F.col(f"`{c}`") for c in items.columns], (F.col("sequence") + F.col("pack_rank") - F.col("first")).alias("sequence_id"), F.col("offset"))
+    return x.select(*of_row(items.columns, own), (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), F.col("place").alias("offset"))
 
 
 def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end: int = 0, capacity: int = 2048) -> DataFrame:

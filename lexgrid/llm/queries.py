@@ -19,15 +19,18 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans, secrets and revealing terms of every document; null text is empty, copies have the same spans, an empty table gives an empty one."""
     from lexgrid.llm.privacy import KINDS, find_personal
 
     found = find_personal(table(spark, sf_dir, "documents"))
     names = F.array(*[F.lit(k) for k in KINDS])
-    base = F.transform("base", lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string")))
-    terms = F.transform("terms", lambda s: F.concat_ws(":", F.lit("term"), s["start"].cast("string"), s["end"].cast("string")))
+    told = lambda kind, s: F.concat_ws(":", kind, s["start"].cast("string"), s["end"].cast("string"))
+    base = F.transform("base", lambda s: told(F.get(names, s["kind"]), s))
+    of_kind = lambda column, kind: F.transform(column, lambda s: told(F.lit(kind), s))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, terms), ",").alias("spans"), F.size("terms").cast("long").alias("n_term"))
+    sizes = [F.size(c).cast("long") for c in ("base", "secrets", "terms")]
+    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, of_kind("secrets", "secret"), of_kind("terms", "term")), ",").alias("spans"), sizes[1].alias("n_secret"), sizes[2].alias("n_term"), (sizes[0] + sizes[1]).alias("n_entity"))
 
 
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +113,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(1024.0::double * x::double)::bigint) as v from embeddings
-    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 pairs as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score
     from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id and len(c.v) = len(q.v)),
 ranked as (select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from pairs)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexgrid.llm.shared import lower_az
+from lexgrid.llm.shared import as_row, lower_az, of_row
 
 #: Rules up to this many are broadcast (under 100 bytes each, so 10 MB); more are joined by a shuffle.
 BROADCAST_RULES = 100_000
@@ -40,16 +40,16 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, url: str
     Null URLs, URLs without :// and empty hosts fit no rule. Repeated rows stay, each judged. An empty table gives an empty one. Columns of pages that have the new names are dropped. No rules: all get `default`.
     """
     spark, new = pages.sparkSession, ("url_host", "url_path", "url_rule", "url_verdict")
-    pages = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c.lower() not in new])
-    u, kept = f"`{url}`", [F.col(f"`{c}`") for c in pages.columns]
-    host, path = split_url(F.col(u))
+    u, kept = F.col(f"row.`{url}`"), of_row(pages.columns, new)
+    rows = as_row(pages)
+    host, path = split_url(u)
     if not rules:
-        return pages.select(*kept, host.alias("url_host"), path.alias("url_path"), F.lit(None).cast("string").alias("url_rule"), F.lit(default).alias("url_verdict"))
+        return rows.select(*kept, host.alias("url_host"), path.alias("url_path"), F.lit(None).cast("string").alias("url_rule"), F.lit(default).alias("url_verdict"))
     shapes = sorted({len(p) for _, _, p in rules})
     made = F.explode(expressions(F.col("host"), F.col("path"), max(h.count(".") + 1 for _, h, _ in rules), shapes))
     digest = F.sha2(F.col("expression"), 256)
     asked = (
-        pages.select(F.col(u).alias("u"), host.alias("host"), path.alias("path"))
+        rows.select(u.alias("u"), host.alias("host"), path.alias("path"))
         .filter("host <> ''")
         .select("u", made.alias("expression"))
         .select("u", digest.alias("digest"))
@@ -59,5 +59,6 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, url: str
     known = known.withColumn("prefix", F.substring("rule_digest", 1, prefix_digits))
     met = asked.join(F.broadcast(known) if len(rules) <= BROADCAST_RULES else known, "prefix").filter(F.col("digest") == F.col("rule_digest"))
     rank = F.struct(F.length("rule").alias("n"), F.col("host_length"), (F.col("verdict") == "block").alias("b"), F.col("rule"), F.col("verdict"))
-    best = met.groupBy("u").agg(F.max(rank).alias("best")).select(F.col("u").alias("_u"), F.col("best.rule").alias("url_rule"), F.col("best.verdict").alias("_verdict"))
-    return pages.join(best, F.col(u) == F.col("_u"), "left").select(*kept, host.alias("url_host"), path.alias("url_path"), "url_rule", F.coalesce("_verdict", F.lit(default)).alias("url_verdict"))
+    best = met.groupBy("u").agg(F.max(rank).alias("best")).select("u", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("verdict"))
+    met = rows.join(best, u == F.col("u"), "left")
+    return met.select(*kept, host.alias("url_host"), path.alias("url_path"), F.col("rule").alias("url_rule"), F.coalesce("verdict", F.lit(default)).alias("url_verdict"))
