@@ -80,3 +80,62 @@ def leaf_points(page: Column, x_bits: Column, y_bits: Column, payload_bits: Colu
 def extra_leaves(left: Column, right: Column, b: Column) -> Column:
     """Leaf pages that a range of ranks needs beyond those of its ends."""
     return F.when(left == right, 0).otherwise(F.greatest(F.lit(0), F.ceil(right / b) - F.ceil(left / b) - 1)).cast("long")
+
+
+#: Bytes of a rectangle on a page: four coordinates of 8 bytes and a byte of flags.
+RECTANGLE = 33
+
+
+def node_bits(parents: Column, children: Column, bits: int) -> Column:
+    """Bits of a page of a point tree's nodes: its shape and its parents' values in whole words, a rectangle with 8 bytes, and 23 of head."""
+    words = lambda x: F.ceil(x / 64) * 64
+    return (words(parents + children) + words(parents * bits) + (RECTANGLE + 8) * 8 + (8 + 2 + 1 + 4 + 8) * 8).cast("long")
+
+
+def overflows(parents: Column, children: Column, bits: int, page: Column) -> Column:
+    """Whether these nodes need more than a page."""
+    return node_bits(parents, children, bits) > page * 8
+
+
+def most_children(page: Column, bits: int) -> Column:
+    """Children that a page can have at most: each parent takes its value and two bits of shape."""
+    free = page * 8 - ((8 + 4 + 1 + 2 + 8) * 8 + (RECTANGLE + 8) * 8) - 129
+    return (F.floor(free / (bits + 2)) + 1).cast("long")
+
+
+def page_height(page: Column, bits: int, most: int = 40) -> Column:
+    """Levels of a whole binary tree in a page: the last height whose nodes don't overflow, 1 at least."""
+    leaves = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h - 1)
+    fits = F.filter(F.sequence(F.lit(2), F.lit(most)), lambda h: ~overflows(leaves(h) - 1, leaves(h), bits, page))
+    return F.size(fits) + 1
+
+
+def whole_log(x: Column, base: Column) -> Column:
+    """The largest k with base^k <= x; exact where logarithms are a little off."""
+    k = F.floor(F.log(x.cast("double")) / F.log(base.cast("double")))
+    return F.when(F.pow(base, k + 1) <= x, k + 1).when(F.pow(base, k) > x, k - 1).otherwise(k).cast("long")
+
+
+def node_level(points: Column, leaf: int, fan_out: int) -> Column:
+    """Level of a node over so many points, with leaves of `leaf` points and fan_out children: one above floor(log(points / 2 leaf)) where the points lie between a power of leaves and its double."""
+    fan = F.lit(fan_out)
+    half, whole = whole_log(points / (2 * leaf), fan), whole_log(points / leaf, fan)
+    power = F.lit(leaf) * F.pow(fan, whole)
+    return F.when((power < points) & (points < 2 * power), half + 1).otherwise(half).cast("long")
+
+
+def page_offset(page_number: Column, page: Column, head: Column) -> Column:
+    """Byte at which a page starts, after the file's head."""
+    return (head + page_number * page).cast("long")
+
+
+def unpacked(x: Column) -> tuple[Column, Column]:
+    """The byte and the bit of a packed crit position."""
+    return F.shiftright(x.cast("long"), 3), x.cast("long").bitwiseAND(F.lit(7).cast("long"))
+
+
+def root_leaves(height: Column, page_levels: Column) -> Column:
+    """Leaves of the tree in the root's page, where each further page takes page_levels - 1 levels of a tree of that height."""
+    rest = (height - page_levels + 1) % (page_levels - 1)
+    levels = F.when(height > page_levels, F.when(rest == 0, page_levels - 1).otherwise(rest)).otherwise(page_levels - 1)
+    return F.call_function("shiftleft", F.lit(1).cast("long"), levels.cast("int"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexgrid.functions.bytes import byte_at, preceding
+from lexgrid.operators.positions import each_position
 
 
 def points(corpus: DataFrame, samples: DataFrame, step: int) -> DataFrame:
@@ -16,10 +17,14 @@ def points(corpus: DataFrame, samples: DataFrame, step: int) -> DataFrame:
 
 def keyed_points(corpus: DataFrame, step: int, key_bytes: int) -> DataFrame:
     """(doc_id, cx, cy, key, y, pos) without any sort: `key`, the next bytes, stands for the rank in prefix tests. One pass over the texts; columns are covering, so a search reads nothing else. Position 0 is kept, with null cy and y, for matches that start there."""
-    at, text = F.col("pos").cast("int"), F.col("text")
-    rows = corpus.filter("n > 0").select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))).alias("pos"))
-    before = at > 0
-    return rows.select("doc_id", byte_at(text, at).alias("cx"), F.when(before, byte_at(text, at - 1)).alias("cy"), F.substring(text, at + 1, F.lit(key_bytes)).alias("key"), F.when(before, preceding(text, at, step)).alias("y"), "pos")
+    def point(at, pos):
+        before = pos > 0
+        y = F.concat(*[at(-1 - k, 1) for k in range(step)])
+        # of a position under `step` only so many bytes stand before it
+        y = F.when(pos >= step, y).otherwise(F.concat(*[F.when(pos > k, at(-1 - k, 1)).otherwise(F.lit(b"")) for k in range(step)]))
+        return F.struct(at(0, 1).alias("cx"), F.when(before, at(-1, 1)).alias("cy"), at(0, key_bytes).alias("key"), F.when(before, y).alias("y"), pos.alias("pos"))
+
+    return each_position(corpus, step, step, key_bytes, point)
 
 
 def directory(samples: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -43,6 +48,25 @@ def in_rectangle(x: Column, y: Column, r: str) -> Column:
     return x.between(F.col(f"{r}lx"), F.col(f"{r}hx")) & y.between(F.col(f"{r}ly"), F.col(f"{r}hy"))
 
 
+def intersect_open(a: str, b: str) -> Column:
+    """As intersect(), but rectangles that share no more than a line meet there only if both sides there are closed: of the one that ends first its upper side (flag hx_in or hy_in), and of the other its lower side (lx_in or ly_in)."""
+    c = F.col
+
+    def touch(v: str) -> Column:
+        same = F.greatest(c(f"{a}l{v}"), c(f"{b}l{v}")) == F.least(c(f"{a}h{v}"), c(f"{b}h{v}"))
+        first = (c(f"{a}h{v}") < c(f"{b}h{v}")) & ~(c(f"{a}h{v}_in") & c(f"{b}l{v}_in"))
+        second = (c(f"{b}h{v}") < c(f"{a}h{v}")) & ~(c(f"{b}h{v}_in") & c(f"{a}l{v}_in"))
+        return ~(same & (first | second))
+
+    return intersect(a, b) & touch("x") & touch("y")
+
+
+def rebased(pts: DataFrame, first: DataFrame) -> DataFrame:
+    """Points with what their cell implies left out: x less the first rank of its byte (directory()), y without its first byte."""
+    lo = first.select("doc_id", F.col("ch").alias("cx"), "lo")
+    return pts.join(lo, ["doc_id", "cx"]).select("doc_id", "cx", "cy", (F.col("x") - F.col("lo")).alias("x"), F.substring("y", 2, 1 << 30).alias("y"), "pos")
+
+
 def intersect(a: str, b: str) -> Column:
     """Closed rectangles share a point."""
     c = F.col

@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgrid.functions.bytes import fill, reversed_bytes
+from lexgrid.operators.batches import small
 from lexgrid.operators.suffixes import naive_scan
 
-#: Rows of exploded patterns up to which they are broadcast; a pattern's rows hold its bytes twice at most.
-BROADCAST_PATTERNS = 100_000
 EMPTY = (-1, -2)
 
 
@@ -23,9 +22,10 @@ def suffix_range(suffixes: DataFrame, corpus: DataFrame, patterns: DataFrame) ->
     at = F.col("pos").cast("int")
     rows = suffixes.join(corpus, "doc_id").select("doc_id", "rank", "text", at.alias("pos"), F.substring("text", at + 1, F.lit(1)).alias("c"))
     asked = patterns.filter("m > 0").withColumn("c", F.substring("p", 1, 1))
-    hit = rows.join(F.broadcast(asked), "c").filter(F.substring("text", F.col("pos") + 1, F.col("m").cast("int")) == F.col("p"))
+    hit = rows.join(small(asked), "c").filter(F.substring("text", F.col("pos") + 1, F.col("m").cast("int")) == F.col("p"))
     found = hit.groupBy("doc_id", "pattern_id").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"))
-    every = corpus.select("doc_id").join(F.broadcast(patterns.select("pattern_id")), F.lit(True))
+    # the result has a row for every text and pattern
+    every = corpus.select("doc_id").join(small(patterns.select("pattern_id")), F.lit(True))
     none = [F.coalesce(c, F.lit(v).cast("long")).alias(c) for c, v in zip(("lo", "hi"), EMPTY, strict=True)]
     return every.join(found, ["doc_id", "pattern_id"], "left").select("doc_id", "pattern_id", *none)
 
@@ -33,9 +33,10 @@ def suffix_range(suffixes: DataFrame, corpus: DataFrame, patterns: DataFrame) ->
 def prefix_suffixes(suffixes: DataFrame, corpus: DataFrame, patterns: DataFrame) -> DataFrame:
     """(doc_id, pattern_id, rank, pos): all suffixes that start with a pattern; all suffixes for an empty one."""
     at = F.col("pos").cast("int")
-    rows = suffixes.join(corpus, "doc_id")
-    hit = (F.col("m") == 0) | (F.substring("text", at + 1, F.col("m").cast("int")) == F.col("p"))
-    return rows.join(F.broadcast(patterns), hit).select("doc_id", "pattern_id", "rank", "pos")
+    rows = suffixes.join(corpus, "doc_id").withColumn("c", F.substring("text", at + 1, F.lit(1)))
+    met = rows.join(small(patterns.filter("m > 0").withColumn("c", F.substring("p", 1, 1))), "c").filter(F.substring("text", at + 1, F.col("m").cast("int")) == F.col("p"))
+    hits, every = met.select("doc_id", "pattern_id", "rank", "pos"), patterns.filter("m = 0").select("pattern_id")
+    return hits if every.isEmpty() else hits.unionByName(suffixes.join(small(every), F.lit(True)).select("doc_id", "pattern_id", "rank", "pos"))
 
 
 def cases(patterns: DataFrame, step: int) -> DataFrame:
@@ -60,19 +61,37 @@ def with_short(hits: DataFrame, corpus: DataFrame, patterns: DataFrame, step: in
     return hits.unionByName(naive_scan(corpus, short).select("pattern_id", F.lit(0).alias("k"), "doc_id", "pos"))
 
 
-def locate(points: DataFrame, corpus: DataFrame, patterns: DataFrame, step: int) -> DataFrame:
+def locate(points: DataFrame, corpus: DataFrame, patterns: DataFrame, step: int, key_bytes: int | None = None) -> DataFrame:
     """(pattern_id, k, doc_id, pos) of every occurrence, overlaps included.
 
-    points: keyed_points() of this step with keys of at least the longest pattern's bytes. Each occurrence falls into exactly one case, so nothing is counted twice. Case 1 joins on the first byte, the others on the cell (cx, cy); the prefix and the bounds of y are tested on the same row. Patterns of fewer than `step` bytes scan the texts.
+    points: keyed_points() of this step, with keys of key_bytes (default: of at least the longest pattern's). Each occurrence falls into exactly one case, so nothing is counted twice. Case 1 joins on the first byte, the others on the cell (cx, cy); the prefix and the bounds of y are tested on the same row. What is longer than a key is then tested on the text. Patterns of fewer than `step` bytes scan the texts.
     """
     asked = cases(patterns, step)
-    small = asked.count() <= BROADCAST_PATTERNS
-    side = F.broadcast if small else (lambda df: df)
-    starts = F.substring("key", F.lit(1), F.col("m1")) == F.col("p1")
-    first = points.join(side(asked.filter("k = 1").drop("cy")), "cx").filter(starts)
-    other = points.filter("y is not null").join(side(asked.filter("k > 1")), ["cx", "cy"]).filter(starts & F.col("y").between(F.col("ymin"), F.col("ymax")))
+    head = F.least("m1", F.lit(key_bytes)) if key_bytes else F.col("m1")
+    asked = asked.withColumn("head", F.substring("p1", F.lit(1), head)).withColumn("m1", head).drop("p1")
+    starts = F.substring("key", F.lit(1), F.col("m1")) == F.col("head")
+    first = points.join(small(asked.filter("k = 1").drop("cy"), "head"), "cx").filter(starts)
+    other = points.filter("y is not null").join(small(asked.filter("k > 1"), "head"), ["cx", "cy"]).filter(starts & F.col("y").between(F.col("ymin"), F.col("ymax")))
     columns = ["pattern_id", "k", "doc_id", (F.col("pos") - F.col("n2")).alias("pos")]
-    return with_short(first.select(*columns).unionByName(other.select(*columns)), corpus, patterns, step)
+    hits = first.select(*columns).unionByName(other.select(*columns))
+    if key_bytes:
+        longer = patterns.filter(F.col("m") > key_bytes)
+        if not longer.isEmpty():
+            x = hits.join(small(longer), "pattern_id").join(corpus.select("doc_id", "text"), "doc_id")
+            sure = x.filter(F.substring("text", (F.col("pos") + 1).cast("int"), F.col("m").cast("int")) == F.col("p")).select("pattern_id", "k", "doc_id", "pos")
+            hits = hits.join(small(longer.select("pattern_id")), "pattern_id", "left_anti").select("pattern_id", "k", "doc_id", "pos").unionByName(sure)
+    return with_short(hits, corpus, patterns, step)
+
+
+def candidates(points: DataFrame, patterns: DataFrame, step: int) -> DataFrame:
+    """(pattern_id, cells, candidates): how many cells a search of points asks for each pattern of `step` bytes or more, and the points in them that it tests. Points are counted by cell before they meet the patterns."""
+    held = points.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("points"))
+    asked = cases(patterns, step)
+    first = held.groupBy("cx").agg(F.sum("points").alias("points")).join(small(asked.filter("k = 1").select("pattern_id", "k", "cx")), "cx")
+    other = held.filter("cy is not null").join(small(asked.filter("k > 1").select("pattern_id", "k", "cx", "cy")), ["cx", "cy"])
+    met = first.select("pattern_id", "points").unionByName(other.select("pattern_id", "points")).groupBy("pattern_id").agg(F.count(F.lit(1)).alias("cells"), F.sum("points").alias("candidates"))
+    none = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("cells", "candidates")]
+    return patterns.filter(F.col("m") >= step).select("pattern_id").join(met, "pattern_id", "left").select("pattern_id", *none)
 
 
 def count(points: DataFrame, corpus: DataFrame, patterns: DataFrame, step: int) -> DataFrame:

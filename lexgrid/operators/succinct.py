@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexgrid.operators.batches import small
 from lexgrid.sources.store import settled
 
 
@@ -48,22 +49,45 @@ def backward_search(corpus: DataFrame, suffixes: DataFrame, patterns: DataFrame)
 
     Texts have no end mark, so the suffix of the last byte alone, which no suffix precedes, comes first among those of its byte. All patterns in all texts take a step together: one join with the running counts for each symbol of the longest pattern.
     """
-    marks = rank_select(bwt(corpus, suffixes)).filter("octet_length(ch) = 1").select("doc_id", "ch", "rank")
-    last = F.when(F.substring("text", F.col("n").cast("int"), F.lit(1)) == F.col("ch"), 1).otherwise(0)
-    counts = settled(symbol_counts(corpus, suffixes).withColumnRenamed("n", "all").join(corpus, "doc_id").select("doc_id", "ch", "all", "c", last.alias("tail")))
-    marks = settled(marks)
+    marks = settled(bwt(corpus, suffixes).filter("octet_length(ch) = 1"))
+    counts = settled(with_tails(corpus, suffixes))
     symbol = lambda k: F.substring("p", (F.col("m") - k).cast("int"), F.lit(1))
-    now = settled(counts.join(F.broadcast(patterns.filter("m > 0").withColumn("ch", symbol(0))), "ch").select("doc_id", "pattern_id", "p", "m", F.col("c").alias("lo"), (F.col("c") + F.col("all") - 1).alias("hi")))
+    now = settled(counts.join(small(patterns.filter("m > 0").withColumn("ch", symbol(0))), "ch").select("doc_id", "pattern_id", "p", "m", F.col("c").alias("lo"), (F.col("c") + F.col("all") - 1).alias("hi")))
     longest = patterns.agg(F.max("m")).first()[0] or 0
     for k in range(1, longest):
-        open_ = now.filter(F.col("m") > k).withColumn("ch", symbol(k))
-        hit = open_.join(marks, ["doc_id", "ch"]).filter("rank <= hi").groupBy("doc_id", "pattern_id", "p", "m", "ch").agg(F.count(F.when(F.col("rank") < F.col("lo"), 1)).alias("low"), F.count(F.lit(1)).alias("high")).filter("low < high")
+        open_ = now.filter(F.col("m") > k).withColumn("ch", symbol(k)).withColumn("end", F.col("hi") + 1)
+        known = count_before(marks, open_.select("doc_id", "ch", F.explode(F.array("lo", "end")).alias("at")).distinct())
+        hit = open_.join(known.select("doc_id", "ch", F.col("at").alias("lo"), F.col("before").alias("low")), ["doc_id", "ch", "lo"])
+        hit = hit.join(known.select("doc_id", "ch", F.col("at").alias("end"), F.col("before").alias("high")), ["doc_id", "ch", "end"]).filter("low < high")
         start = F.col("c") + F.col("tail")
         step = hit.join(counts, ["doc_id", "ch"]).select("doc_id", "pattern_id", "p", "m", (start + F.col("low")).alias("lo"), (start + F.col("high") - 1).alias("hi"))
         now = settled(now.filter(F.col("m") <= k).unionByName(step))
     return now.select("doc_id", "pattern_id", "lo", "hi")
 
 
+def with_tails(corpus: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """(doc_id, ch, all, c, tail): symbol_counts, and tail is 1 for the text's last byte."""
+    last = F.when(F.substring("text", F.col("n").cast("int"), F.lit(1)) == F.col("ch"), 1).otherwise(0)
+    return symbol_counts(corpus, suffixes).withColumnRenamed("n", "all").join(corpus, "doc_id").select("doc_id", "ch", "all", "c", last.alias("tail"))
+
+
+def count_before(sequence: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (doc_id, ch, at) with before: how many ch the sequence (doc_id, rank, ch) has at ranks under `at`. One running count over both, so that the work is linear in their rows."""
+    both = sequence.select("doc_id", "ch", F.col("rank").alias("at"), F.lit(1).alias("one")).unionByName(asked.select("doc_id", "ch", "at", F.lit(0).alias("one")))
+    w = W.partitionBy("doc_id", "ch").orderBy("at", "one").rowsBetween(W.unboundedPreceding, 0)
+    return both.withColumn("before", F.sum("one").over(w)).filter("one = 0").select("doc_id", "ch", "at", "before")
+
+
+def forward_search(corpus: DataFrame, suffixes: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(doc_id, pattern_id, k, lo, hi): the range of ranks of the pattern's first k bytes, for k from 1 to m, as long as it isn't empty. Suffixes meet a pattern by the first byte; each tells how many bytes they share, and ranges come from one aggregate."""
+    at = F.col("pos").cast("int")
+    rows = suffixes.join(corpus, "doc_id").select("doc_id", "rank", "text", at.alias("pos"), F.substring("text", at + 1, F.lit(1)).alias("c"))
+    met = rows.join(small(patterns.filter("m > 0").withColumn("c", F.substring("p", 1, 1))), "c")
+    same = F.filter(F.sequence(F.lit(1), F.col("m").cast("int")), lambda k: F.substring("text", F.col("pos") + 1, k) == F.substring("p", F.lit(1), k))
+    x = met.select("doc_id", "pattern_id", "rank", F.explode(same).alias("k"))
+    return x.groupBy("doc_id", "pattern_id", F.col("k").cast("long").alias("k")).agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"))
+
+
 def entropy(corpus: DataFrame, k: int) -> DataFrame:
     """(doc_id, entropy): bits a symbol given the k before it; k = 0 for plain."""
     at = corpus.filter(F.col("n") > k).select("doc_id", "text", F.explode(F.sequence(F.lit(k).cast("long"), F.col("n") - 1)).alias("pos"))
@@ -77,40 +101,66 @@ def entropy(corpus: DataFrame, k: int) -> DataFrame:
 def smaller_neighbours(rows: DataFrame, group: str, index: str, value: str) -> DataFrame:
     """rows with psv and nsv: the nearest index before and after with a strictly smaller value; null if there is none.
 
-    One pass over each sorted group with a stack, as an Arrow function: a group's stack holds no more than its rising values.
+    One pass over each sorted group as an Arrow function, whole arrays at a time: least values of 1, 2, 4, ... neighbours, and each index then skips the largest stretches without a smaller one.
     """
     schema = f"`{group}` {dict(rows.dtypes)[group]}, i long, v double, psv long, nsv long"
 
     def scan(table):
+        import numpy as np
         import pyarrow as pa
 
         table = table.sort_by("i")
-        at, v = table.column("i").to_pylist(), table.column("v").to_pylist()
-        psv, nsv, stack = [None] * len(v), [None] * len(v), []
-        for k, x in enumerate(v):
-            while stack and v[stack[-1]] > x:
-                nsv[stack.pop()] = at[k]
-            if stack:
-                psv[k] = psv[stack[-1]] if v[stack[-1]] == x else at[stack[-1]]
-            stack.append(k)
-        return pa.table({group: table.column(group), "i": table.column("i"), "v": table.column("v"), "psv": pa.array(psv, pa.int64()), "nsv": pa.array(nsv, pa.int64())})
+        at, v = table.column("i").to_numpy(), table.column("v").to_numpy()
+        n = len(v)
+
+        def before(v):
+            """Index of the nearest smaller one in front, or -1."""
+            least = [v]
+            while 2 << len(least) - 1 <= n:
+                step = 1 << len(least) - 1
+                least.append(np.minimum(least[-1][step:], least[-1][:-step]))
+            end = np.arange(n)
+            for k in reversed(range(len(least))):
+                step = 1 << k
+                fits = end >= step
+                skip = fits.copy()
+                skip[fits] = least[k][end[fits] - step] >= v[fits]
+                end[skip] -= step
+            return end - 1
+
+        psv, nsv = before(v), n - 1 - before(v[::-1])[::-1]
+        named = lambda k, bad: pa.array(at[np.clip(k, 0, n - 1)], pa.int64(), mask=bad)
+        return pa.table({group: table.column(group), "i": table.column("i"), "v": table.column("v"), "psv": named(psv, psv < 0), "nsv": named(nsv, nsv >= n)})
 
     narrow = rows.select(group, F.col(index).cast("long").alias("i"), F.col(value).cast("double").alias("v"))
     return narrow.groupBy(group).applyInArrow(scan, schema)
 
 
 def range_minimum(rows: DataFrame, queries: DataFrame, group: str, most: bool = False) -> DataFrame:
-    """(query_id, at): the leftmost index of the least (or greatest) value in each query (query_id, group, l, r), closed."""
-    met = rows.join(queries, group).filter("i between l and r")
-    key = F.struct((-F.col("v") if most else F.col("v")).alias("v"), "i")
-    return met.groupBy("query_id").agg(F.min(key).alias("best")).select("query_id", F.col("best.i").alias("at"))
+    """(query_id, at): the leftmost index of the least (or greatest) value of rows (group, i, v) in each query (query_id, group, l, r), closed. Indices of a group have no gaps.
+
+    Each index knows the best of the 1, 2, 4, ... from it on; a query takes the two stretches that cover it, by equi-joins, so work grows with rows times the logarithm of the longest query.
+    """
+    longest = queries.agg(F.max(F.col("r") - F.col("l") + 1)).first()[0] or 1
+    w, levels = W.partitionBy(group).orderBy("i"), max(1, int(longest).bit_length())
+    x = rows.select(group, "i", F.struct((-F.col("v") if most else F.col("v")).alias("v"), F.col("i").alias("i")).alias("m0"))
+    for k in range(1, levels):
+        x = x.withColumn(f"m{k}", F.least(f"m{k - 1}", F.coalesce(F.lead(f"m{k - 1}", 1 << (k - 1)).over(w), F.col(f"m{k - 1}"))))
+    table = x.select(group, "i", F.array(*[f"m{k}" for k in range(levels)]).alias("best"))
+    level = (F.length(F.bin(F.col("r") - F.col("l") + 1)) - 1).cast("int")
+    asked = queries.filter("l <= r").select("query_id", group, "l", (F.col("r") - F.call_function("shiftleft", F.lit(1).cast("long"), level) + 1).alias("last"), level.alias("level"))
+    one = asked.join(table.select(group, F.col("i").alias("l"), F.col("best").alias("one")), [group, "l"])
+    two = one.join(table.select(group, F.col("i").alias("last"), F.col("best").alias("two")), [group, "last"])
+    return two.select("query_id", F.least(F.get("one", F.col("level")), F.get("two", F.col("level")))["i"].alias("at"))
 
 
 def interval_symbols(sequence: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, ch, before, inside): for each symbol of the interval [l, r) of ranks, how many of it stand in front and inside."""
-    met = sequence.join(queries, "doc_id").filter("rank < r")
-    inside = F.col("rank") >= F.col("l")
-    return met.groupBy("query_id", "ch").agg(F.count(F.when(~inside, 1)).alias("before"), F.count(F.when(inside, 1)).alias("inside")).filter("inside > 0")
+    """(query_id, ch, before, inside): for each symbol of the interval [l, r) of ranks of a query (query_id, doc_id, l, r), how many of it stand in front and inside. Each query asks for the running counts of its text's symbols, at most 257, at both ends."""
+    symbols = sequence.select("doc_id", "ch").distinct()
+    asked = queries.join(symbols, "doc_id")
+    known = count_before(sequence, asked.select("doc_id", "ch", F.explode(F.array("l", "r")).alias("at")).distinct())
+    x = asked.join(known.select("doc_id", "ch", F.col("at").alias("l"), "before"), ["doc_id", "ch", "l"]).join(known.select("doc_id", "ch", F.col("at").alias("r"), F.col("before").alias("until")), ["doc_id", "ch", "r"])
+    return x.select("query_id", "ch", "before", (F.col("until") - F.col("before")).alias("inside")).filter("inside > 0")
 
 
 def bit_ranks(bits: DataFrame) -> DataFrame:
@@ -141,14 +191,6 @@ def lcp_intervals(lcps: DataFrame) -> DataFrame:
     return inner.unionByName(root).distinct()
 
 
-def tree_parents(nodes: DataFrame) -> DataFrame:
-    """nodes (doc_id, depth, lb, rb) with plb and prb: the smallest range that holds it and is another's; null for the root. A node's sorted order (lb, then the widest) is the pre-order of the tree."""
-    outer = nodes.select("doc_id", F.col("lb").alias("olb"), F.col("rb").alias("orb"))
-    met = nodes.join(outer, "doc_id").filter("olb <= lb and rb <= orb and (olb < lb or rb < orb)")
-    up = met.groupBy("doc_id", "lb", "rb").agg(F.min(F.struct((F.col("orb") - F.col("olb")).alias("wide"), "olb", "orb")).alias("up"))
-    return nodes.join(up, ["doc_id", "lb", "rb"], "left").select("doc_id", "depth", "lb", "rb", F.col("up.olb").alias("plb"), F.col("up.orb").alias("prb"))
-
-
 def parentheses(nodes: DataFrame) -> DataFrame:
     """(doc_id, i, bit): the balanced parentheses of nested ranges, 1 for an opening one.
 
@@ -186,6 +228,49 @@ def matching_statistics(one: DataFrame, other: DataFrame, most: int | None = Non
     return now.select("doc_id", "pos", "longest")
 
 
+def statistics_sums(found: DataFrame) -> DataFrame:
+    """(doc_id, total): matching_statistics summed up."""
+    return found.groupBy("doc_id").agg(F.sum("longest").alias("total"))
+
+
+def with_bits(bits: DataFrame, put: DataFrame, gone: DataFrame) -> DataFrame:
+    """bits after places (doc_id, i) are put in, and then others taken out."""
+    marked = lambda df, name: df.select("doc_id", "i").distinct().withColumn(name, F.lit(True))
+    x = bits.join(marked(put, "put"), ["doc_id", "i"], "left").join(marked(gone, "gone"), ["doc_id", "i"], "left")
+    return x.select("doc_id", "i", F.when(F.col("gone"), 0).when(F.col("put"), 1).otherwise(F.col("bit")).alias("bit"))
+
+
+def neighbours_hold(rows: DataFrame, claimed: DataFrame, group: str) -> DataFrame:
+    """(group, i, holds): whether psv, claimed for rows (group, i, v), is the nearest index before with a smaller value: its value is smaller, and the least between isn't."""
+    x = rows.join(claimed, [group, "i"], "left").join(rows.select(group, F.col("i").alias("psv"), F.col("v").alias("there")), [group, "psv"], "left")
+    between = x.filter("psv >= 0 and i - psv > 1").select(F.struct(group, "i").alias("query_id"), group, (F.col("psv") + 1).alias("l"), (F.col("i") - 1).alias("r"))
+    least = range_minimum(rows, between, group).select("query_id.*", "at").join(rows.select(group, F.col("i").alias("at"), F.col("v").alias("least")), [group, "at"]).drop("at")
+    holds = (F.col("there") < F.col("v")) & (F.col("least").isNull() | (F.col("least") >= F.col("v")))
+    return x.join(least, [group, "i"], "left").select(group, "i", F.coalesce(holds, F.lit(False)).alias("holds"))
+
+
+def bit_places(bits: DataFrame, pattern: str) -> DataFrame:
+    """(doc_id, k, i): the place of the k-th 0, 1, 10 or 01, from 1; of two bits that of the second."""
+    w = W.partitionBy("doc_id").orderBy("i")
+    hit = F.col("bit") == int(pattern[-1])
+    if len(pattern) == 2:
+        hit &= F.lag("bit").over(w) == int(pattern[0])
+    found = bits.withColumn("hit", hit).filter("hit")
+    return found.select("doc_id", F.row_number().over(w).cast("long").alias("k"), "i")
+
+
+def reversed_text(corpus: DataFrame) -> DataFrame:
+    """The corpus with each text's bytes from last to first."""
+    pair = F.regexp_extract_all(F.hex("text"), F.lit("(..)"), F.lit(1))
+    return corpus.select("doc_id", F.unhex(F.array_join(F.reverse(pair), "")).alias("text"), "n")
+
+
+def compressed_array(corpus: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """(doc_id, rank, pos, isa, psi, ch): all arrays of a suffix array by rank; isa is that of the position that equals the rank."""
+    isa = suffixes.select("doc_id", F.col("pos").alias("rank"), F.col("rank").alias("isa"))
+    return suffixes.join(isa, ["doc_id", "rank"]).join(psi(suffixes), ["doc_id", "rank"]).join(bwt(corpus, suffixes), ["doc_id", "rank"])
+
+
 def extract(text: Column, begin: Column, end: Column) -> Column:
     """Bytes [begin, end], closed."""
     return F.substring(text, begin + 1, end - begin + 1)

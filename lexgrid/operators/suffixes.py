@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexgrid.functions.bytes import common_prefix
+from lexgrid.operators.batches import small
+from lexgrid.operators.positions import each_position
 from lexgrid.sources.store import settled
 
 #: Bytes that a suffix is first sorted by; ties are then sorted by doubling.
@@ -20,14 +22,17 @@ def positions(corpus: DataFrame, step: int = 1) -> DataFrame:
     return corpus.filter("n > 0").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))).alias("pos"))
 
 
-def naive_scan(corpus: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern_id, doc_id, pos) of every occurrence, overlaps included, by testing each position that starts with the pattern's first byte. An empty pattern occurs at each position."""
-    at = corpus.filter("n > 0").select("doc_id", "text", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("pos"))
-    head = F.substring("text", (F.col("pos") + 1).cast("int"), F.lit(1))
+def naive_scan(corpus: DataFrame, patterns: DataFrame, longest: int | None = None) -> DataFrame:
+    """(pattern_id, doc_id, pos) of every occurrence, overlaps included, by testing each position that starts with the pattern's first byte. An empty pattern occurs at each position. longest: bytes of the longest pattern, of a stream of patterns, which can't be asked."""
     wanted = patterns.filter("p is not null")
-    hit = F.substring("text", (F.col("pos") + 1).cast("int"), F.col("m").cast("int")) == F.col("p")
-    some = at.withColumn("c", head).join(F.broadcast(wanted.filter("m > 0").withColumn("c", F.substring("p", 1, 1))), "c").filter(hit).select("pattern_id", "doc_id", "pos")
-    return some.unionByName(at.select("doc_id", "pos").join(F.broadcast(wanted.filter("m = 0").select("pattern_id", F.lit(True).alias("every"))), F.lit(True)).select("pattern_id", "doc_id", "pos"))
+    side = small if longest is None else (lambda df: df)
+    most = int(wanted.agg(F.max("m")).first()[0] or 0) if longest is None else longest
+    some = each_position(corpus, 1, 0, most, lambda at, pos: F.struct(at(0, 1).alias("c"), at(0, most).alias("head"), pos.alias("pos")))
+    hits = some.join(side(wanted.filter("m > 0").withColumn("c", F.substring("p", 1, 1))), "c").filter(F.substring("head", F.lit(1), F.col("m").cast("int")) == F.col("p")).select("pattern_id", "doc_id", "pos")
+    every = wanted.filter("m = 0").select("pattern_id")
+    if longest is None and every.isEmpty():
+        return hits
+    return hits.unionByName(some.select("doc_id", "pos").join(side(every), F.lit(True)).select("pattern_id", "doc_id", "pos"))
 
 
 def ranked(rows: DataFrame, key: str, by_range: bool) -> DataFrame:
@@ -53,14 +58,13 @@ def suffix_array(corpus: DataFrame, step: int = 1, first_bytes: int = FIRST_BYTE
 
     Suffixes are sorted by their first bytes. Where a document has ties, and only there, ranks double: a suffix's rank among those of h bytes and that of the suffix h bytes on sort it by 2h bytes, so rounds grow with the logarithm of the longest repeat. Doubling needs all positions of such a document; samples are taken from them after.
     """
-    key = F.substring("text", (F.col("pos") + 1).cast("int"), F.lit(first_bytes))
-    one = settled(_first(corpus, positions(corpus, step), key, window_bytes))
+    one = settled(_first(corpus, step, first_bytes, window_bytes))
     tied = one.filter("ties > 1").select("doc_id").distinct()
     if tied.isEmpty():
         return one.select("doc_id", "rank", "pos")
     done = one.join(tied, "doc_id", "left_anti").select("doc_id", "rank", "pos")
     rest = corpus.join(tied, "doc_id", "left_semi")
-    now = one.join(tied, "doc_id", "left_semi") if step == 1 else settled(_first(rest, positions(rest), key, window_bytes))
+    now = one.join(tied, "doc_id", "left_semi") if step == 1 else settled(_first(rest, 1, first_bytes, window_bytes))
     h, long_docs = first_bytes, corpus.select("doc_id", (F.col("n") > window_bytes).alias("long"))
     while not now.filter("ties > 1").isEmpty():
         ahead = now.select("doc_id", (F.col("pos") - h).alias("pos"), F.col("rank").alias("next"))
@@ -72,8 +76,8 @@ def suffix_array(corpus: DataFrame, step: int = 1, first_bytes: int = FIRST_BYTE
     return done.unionByName(now.select("doc_id", "rank", "pos"))
 
 
-def _first(corpus: DataFrame, at: DataFrame, key, window_bytes: int) -> DataFrame:
-    rows = at.join(corpus, "doc_id").select("doc_id", "pos", key.alias("key"))
+def _first(corpus: DataFrame, step: int, first_bytes: int, window_bytes: int) -> DataFrame:
+    rows = each_position(corpus, step, 0, first_bytes, lambda at, pos: F.struct(pos.alias("pos"), at(0, first_bytes).alias("key")))
     return _ranks(rows, corpus.select("doc_id", (F.col("n") > window_bytes).alias("long")))
 
 
@@ -109,6 +113,29 @@ def sampled(lcps: DataFrame, step: int) -> DataFrame:
     return x.select("doc_id", F.col("grp").cast("long").alias("x"), "pos", F.when(F.col("grp") == 0, 0).otherwise(F.col("least")).cast("long").alias("lcp"))
 
 
+def merged(suffixes: DataFrame, lcps: DataFrame) -> DataFrame:
+    """(doc_id, rank, pos, lcp) of two arrays by rank; the first common prefix is 0 whatever is given. Arrays of different lengths, or a rank that one of them lacks, are an error."""
+    both = suffixes.select("doc_id", "rank", "pos").join(lcps.select("doc_id", "rank", "lcp"), ["doc_id", "rank"], "full_outer")
+    bad = F.col("pos").isNull() | F.col("lcp").isNull()
+    lcp = F.when(bad, F.raise_error(F.lit("the arrays differ in length")).cast("long")).when(F.col("rank") == 0, 0).otherwise(F.col("lcp"))
+    return both.select("doc_id", "rank", "pos", lcp.cast("long").alias("lcp"))
+
+
+def interval_positions(suffixes: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(query_id, rank, pos): the positions of the ranks lo to hi of each range (query_id, doc_id, lo, hi). Ranges are spread into their ranks, and these join."""
+    asked = ranges.filter("lo <= hi").select("query_id", "doc_id", F.explode(F.sequence("lo", "hi")).alias("rank"))
+    return asked.join(suffixes, ["doc_id", "rank"]).select("query_id", "rank", "pos")
+
+
+def verified(corpus: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """(doc_id, ordered, permutation): whether each suffix exceeds the one before, by their common prefix and the byte after it, and whether the positions are all of the text's."""
+    x = with_lcp(corpus, suffixes).join(corpus, "doc_id")
+    byte = lambda at: F.substring("text", (at + F.col("lcp") + 1).cast("int"), F.lit(1))
+    up = F.coalesce(byte(F.col("prev")) < byte(F.col("pos")), F.lit(True))
+    whole = (F.count_distinct("pos") == F.max("n")) & (F.count(F.lit(1)) == F.max("n")) & (F.min("pos") == 0) & (F.max("pos") == F.max("n") - 1)
+    return x.groupBy("doc_id").agg(F.bool_and(up).alias("ordered"), whole.alias("permutation"))
+
+
 def blocks(lcps: DataFrame, b: int) -> DataFrame:
     """(doc_id, block, first_pos, min_lcp, size): ranks in blocks of b, each with its first suffix and least LCP."""
     return lcps.groupBy("doc_id", F.expr(f"rank div {b}").alias("block")).agg(F.min_by("pos", "rank").alias("first_pos"), F.min("lcp").alias("min_lcp"), F.count(F.lit(1)).alias("size"))

@@ -92,12 +92,6 @@ def src1_read_text(spark, d):
     return documents(spark, d).select("doc_id", "n", F.md5("text").alias("md5"))
 
 
-@query("select doc_id, hex(encode(text)[101:164]) as bytes, case when strlen(text) > 100 then 1 else 1 end::bigint as pages from documents where text is not null")
-def src2_byte_range(spark, d):
-    at, n = F.lit(100), F.lit(64)
-    return hexed(documents(spark, d).select("doc_id", src.byte_range(F.col("text"), at, n).alias("bytes"), src.pages(at, n, 4096).alias("pages")))
-
-
 @query(f"with {CUST}, {SA}, {LCP} select max(lcp)::bigint as max_lcp, (length(bin(max(lcp))) + 3)::int as bits from lc")
 def src9_max_lcp(spark, d):
     c = long_names(spark, d)
@@ -234,13 +228,6 @@ def u1_cases(spark, d):
     return named(hits.groupBy("pattern_id", "k").agg(F.count(F.lit(1)).alias("n")), TEXT_PATTERNS)
 
 
-@query(f"{WITH_SA}, {NAMES_P}, {HITS} select pattern, doc_id, pos from hits where strlen(pattern) >= 2")
-def j6_two_step_locate(spark, d):
-    c, s = names(spark, d), name_samples(spark, d)
-    asked = src.patterns(spark, NAME_PATTERNS).filter("m >= 2")  # those that the SQL asks
-    return named(search.locate_by_ranges(pt.points(c, s, 2), s, c, asked, 2).drop("k"), NAME_PATTERNS)
-
-
 @query(f"{WITH_SA} select distinct doc_id, pos from (select doc_id, pos from sa where pos % 3 = 0 union all select doc_id, pos from sa where pos % 2 = 0)")
 def u2_insert(spark, d):
     s = name_suffixes(spark, d)
@@ -384,11 +371,6 @@ def v21_tree_nodes(spark, d):
     return name_nodes(spark, d)
 
 
-@query(f"{WITH_SA}, {LCP}, {INTERVALS}, u as (select a.doc_id, a.lb, a.rb, arg_min((b.lb, b.rb), b.rb - b.lb) as up from iv a join iv b on a.doc_id = b.doc_id and b.lb <= a.lb and a.rb <= b.rb and (b.lb < a.lb or a.rb < b.rb) group by 1, 2, 3) select iv.doc_id, depth, iv.lb, iv.rb, up[1] as plb, up[2] as prb from iv left join u on u.doc_id = iv.doc_id and u.lb = iv.lb and u.rb = iv.rb")
-def v21_tree_parents(spark, d):
-    return succinct.tree_parents(name_nodes(spark, d))
-
-
 PARENS = "par as (select doc_id, row_number() over (partition by doc_id order by spot, side, tie) - 1 as i, bit from (select doc_id, lb as spot, 0 as side, -rb as tie, 1 as bit from iv union all select doc_id, rb, 1, -lb, 0 from iv))"
 
 
@@ -404,15 +386,6 @@ def v29_matching_statistics(spark, d):
     return succinct.matching_statistics(types, other)
 
 
-@query(f"{WITH_SA}, x as (select doc_id, rank, pos, lag(suf) over (partition by doc_id order by rank) < suf as up, n from sa) select doc_id, bool_and(coalesce(up, true)) as ordered, count(distinct pos) = any_value(n) and min(pos) = 0 and max(pos) = any_value(n) - 1 as permutation from x group by 1")
-def v28_verify(spark, d):
-    from pyspark.sql import Window as W
-
-    x = name_suffixes(spark, d).join(names(spark, d), "doc_id").withColumn("suf", F.substring("text", F.col("pos").cast("int") + 1, 1 << 20))
-    up = F.lag("suf").over(W.partitionBy("doc_id").orderBy("rank")) < F.col("suf")
-    return x.withColumn("up", up).groupBy("doc_id").agg(F.bool_and(F.coalesce("up", F.lit(True))).alias("ordered"), ((F.count_distinct("pos") == F.max("n")) & (F.min("pos") == 0) & (F.max("pos") == F.max("n") - 1)).alias("permutation"))
-
-
 @query(f"{OCCURRENCES} select p.pattern, count(o.pos) as occurrences from p left join o using (pattern) group by 1")
 def snk_index_round_trip(spark, d):
     """Written, opened and asked: the same counts."""

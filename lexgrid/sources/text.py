@@ -25,10 +25,11 @@ def byte_range(text: Column, begin: Column, length: Column) -> Column:
     return F.substring(text, begin + 1, length)
 
 
-def pages(begin: Column, length: Column, page: int) -> Column:
-    """How many pages of so many bytes a byte range touches."""
-    last = F.floor((begin + length - 1) / page)
-    return F.when(length > 0, last - F.floor(begin / page) + 1).otherwise(0).cast("long")
+def pages(n: Column, begin: Column, length: Column, page: int) -> Column:
+    """How many pages of so many bytes a byte range of a text of n bytes touches; the range is cut at the end, and none beyond it."""
+    have = F.least(n - begin, length)
+    last = F.floor((begin + have - 1) / page)
+    return F.when(have > 0, last - F.floor(begin / page) + 1).otherwise(0).cast("long")
 
 
 def patterns(spark: SparkSession, items: list[str | bytes]) -> DataFrame:
@@ -45,6 +46,12 @@ def integers(spark: SparkSession, path: str, width: int) -> DataFrame:
     return files.select("path", "rank", F.conv(F.hex(F.concat(*low_first)), 16, 10).cast("long").alias("value"))
 
 
+def random_positions(text: DataFrame, m: int, each: int, seed: int = 1) -> DataFrame:
+    """(doc_id, k, pos): `each` positions of every text of numeric id that has m bytes, where m bytes fit; scattered, and the same in every run."""
+    at = F.pmod(F.col("doc_id").cast("long") * 40_503 + F.col("k") * 2_654_435_761 + F.lit(seed), F.col("n") - m + 1)
+    return text.filter(F.col("n") >= m).select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(each - 1).cast("long"))).alias("k")).select("doc_id", "k", at.alias("pos"))
+
+
 def pattern_positions(text: DataFrame, positions: DataFrame, m: int) -> DataFrame:
     """Patterns of m bytes cut from texts at (doc_id, pos); only whole ones."""
     x = text.join(positions, "doc_id").filter(F.col("pos") + m <= F.col("n"))

@@ -33,5 +33,5 @@ def stream_locate(patterns: DataFrame, points: DataFrame, step: int, corpus: Dat
         return met.filter(F.when(cut, F.raise_error(F.lit(f"a pattern longer than keys of {longest} bytes needs the corpus")).cast("boolean")).otherwise(starts)).select(*columns)
     whole = F.substring("text", (F.col("pos") - F.col("n2") + 1).cast("int"), F.col("m").cast("int")) == F.col("p")
     rest = met.filter(beyond).join(corpus.select("doc_id", "text"), "doc_id").filter(whole)
-    short = naive_scan(corpus, patterns.filter(F.col("m") < step)).select("pattern_id", F.lit(0).alias("k"), "doc_id", "pos")
+    short = naive_scan(corpus, patterns.filter(F.col("m") < step), step).select("pattern_id", F.lit(0).alias("k"), "doc_id", "pos")
     return met.filter(starts).select(*columns).unionByName(rest.select(*columns)).unionByName(short)

@@ -73,6 +73,50 @@ def test_locate_by_ranges_scans_for_short_patterns(spark, step):
     assert rows(got, "pattern_id", "doc_id", "pos") == naive(texts, patterns)
 
 
+def test_texts_in_pieces(spark, monkeypatch):
+    from lexgrid.operators import positions
+
+    monkeypatch.setattr(positions, "PIECE", 7)
+    r = random.Random(5)
+    texts, patterns = [bytes(r.choice(b"ab") for _ in range(n)) for n in (0, 1, 6, 7, 8, 14, 50)], [b"ab", b"abab", b"a", b"bbabab", b"aabababbab"]
+    c, p = make(spark, *texts), src.patterns(spark, patterns)
+    want = naive(texts, patterns)
+    assert rows(sx.naive_scan(c, p), "pattern_id", "doc_id", "pos") == want
+    for step in (1, 3, 4):
+        assert rows(search.locate(pt.keyed_points(c, step, 4), c, p, step, 4), "pattern_id", "doc_id", "pos") == want
+    assert rows(sx.suffix_array(c, first_bytes=3), "doc_id", "rank", "pos") == sorted((d, k, q) for d, t in enumerate(texts) for k, q in enumerate(sorted(range(len(t)), key=lambda i: t[i:])))
+
+
+def test_arrays_of_unequal_length_are_an_error(spark):
+    one, two = spark.createDataFrame([(0, 0, 1), (0, 1, 0)], "doc_id long, rank long, pos long"), spark.createDataFrame([(0, 0, 9)], "doc_id long, rank long, lcp long")
+    with pytest.raises(Exception, match="differ in length"):
+        sx.merged(one, two).collect()
+    assert rows(sx.merged(one.filter("rank = 0"), two), "pos", "lcp") == [(1, 0)]
+
+
+def test_verify_finds_a_wrong_order(spark):
+    c = make(spark, b"banana", b"abc")
+    s = sx.suffix_array(c)
+    assert rows(sx.verified(c, s), "doc_id", "ordered", "permutation") == [(0, True, True), (1, True, True)]
+    bad = s.withColumn("pos", F.when((F.col("doc_id") == 0) & (F.col("rank") == 0), 3).when((F.col("doc_id") == 0) & (F.col("rank") == 1), 5).otherwise(F.col("pos")))
+    assert rows(sx.verified(c, bad), "doc_id", "ordered", "permutation") == [(0, False, True), (1, True, True)]
+
+
+def test_shared_folder_is_asked_for_on_a_cluster(spark, monkeypatch):
+    from lexgrid.sources import store
+
+    class Context:
+        def getCheckpointDir(self):
+            return type("none", (), {"isDefined": lambda self: False})()
+
+        def isLocal(self):
+            return False
+
+    fake = type("s", (), {"sparkContext": type("c", (), {"_jsc": type("j", (), {"sc": lambda self: Context()})()})(), "conf": type("f", (), {"get": lambda self, k, d=None: d})()})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.shared_folder(fake)
+
+
 def test_empty_and_null_patterns(spark):
     c = make(spark, b"ab", b"")
     p = spark.createDataFrame([(0, bytearray(b"")), (1, None)], "pattern_id long, p binary").withColumn("m", F.octet_length("p").cast("long"))
@@ -148,9 +192,11 @@ def test_index_round_trip_and_stream(spark, tmp_path):
     index = Index(spark, str(tmp_path / "index"))
     want = naive(texts, [p.encode() for p in patterns])
     assert rows(index.locate(src.patterns(spark, patterns)), "pattern_id", "doc_id", "pos") == want
-    with pytest.raises(ValueError):
-        index.locate(src.patterns(spark, ["longer than keys"]))
-    assert {r["part"] for r in index.sizes().collect()} == {"points", "corpus"}
+    long = ["mississipi", "mississipx", "longer than keys"]
+    assert rows(index.locate(src.patterns(spark, long)), "pattern_id", "doc_id", "pos") == naive(texts, [p.encode() for p in long])
+    assert {r["part"] for r in index.sizes().filter("files > 0 and bytes > 0").collect()} == {"points", "corpus", "meta", "builds"}
+    plan = index.asked(src.patterns(spark, ["issi"]))._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(key" in plan and "LessThan(key" in plan and "EqualTo(cx" in plan
     src.patterns(spark, patterns).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("pattern_id long, p binary, m long").parquet(str(tmp_path / "in"))
     q = stream_locate(stream, index.points, 2).writeStream.format("memory").queryName("hits").option("checkpointLocation", str(tmp_path / "cp")).start()
