@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lexgrid.llm.encoding import default_vocabulary, encoder
-from lexgrid.llm.shared import as_row, for_python, of_row, written
+from lexgrid.llm.shared import as_row, for_python, local, of_row, written
 
-#: Rows of a plan up to which it is broadcast (40 bytes each).
+#: Rows of a plan up to which it is broadcast (48 bytes each).
 BROADCAST_ROWS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -49,48 +49,58 @@ class Bins:
             after = -(now * (need * self.weights)).sum(1) / np.maximum(np.sqrt((now**2).sum(1)), 1e-300)
         return int(k[np.argmin(after)])
 
-    def place(self, need: np.ndarray, n: int) -> list[tuple[int, int, int]]:
-        """Place n equal items: (first sequence, sequences, tokens already there)."""
-        out = []
+    def place(self, need: np.ndarray, n: int) -> list[tuple[int, int, int, int]]:
+        """Place n equal items: (first sequence, items, tokens already there, items for each sequence).
+
+        By least norm, what one item was best put in is the best for the next one too, as long as it fits; so a sequence is filled before the next. By "dot" each sequence of a class gets one.
+        """
+        out, some = [], need > 0
         while n:
             k = self.best(need)
             if k is None:
-                each = int((self.capacity // np.maximum(need, 1))[need > 0].min())
+                each = int((self.capacity[some] // need[some]).min())
                 if each < 1:
                     raise ValueError(f"an item of {need.tolist()} exceeds the capacities {self.capacity.tolist()}")
                 m = -(-n // each)
                 self.add(self.capacity, self.opened, m)
                 self.opened += m
                 continue
+            left = self.left[k].copy()
+            each = 1 if self.rule == "dot" else int((left[some] // need[some]).min())
             first, m = self.ranges[k].pop()
-            use = min(m, n)
+            use = min(m, -(-n // each))
+            items = min(n, use * each)
             if use < m:
                 self.ranges[k].append((first + use, m - use))
             self.alive[k] = bool(self.ranges[k])
-            out.append((first, use, int(self.capacity[0] - self.left[k, 0])))
-            self.add(self.left[k] - need, first, use)
-            n -= use
+            out.append((first, items, int(self.capacity[0] - left[0]), each))
+            full, rest = divmod(items, each)
+            if full:
+                self.add(left - each * need, first, full)
+            if rest:
+                self.add(left - rest * need, first + full, 1)
+            n -= items
         return out
 
 
-def plan(counts: dict[int, int], capacity: int, most_docs: int, most_attention: int, weights: tuple[float, float, float], rule: str) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, items, first sequence, offset) for all items, counted by length; the longest first.
+def plan(counts: dict[int, int], capacity: int, most_docs: int, most_attention: int, weights: tuple[float, float, float], rule: str) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, items, first sequence, offset, items for each sequence) for all items, counted by length; the longest first.
 
     An item's demand (tokens, 1 document, length squared) depends on its length alone, so equal lengths are placed together and the work depends on the number of lengths, not of items.
     """
     bins, rows = Bins(np.array([capacity, most_docs, most_attention], np.int64), np.array(weights), rule), []
     for length in sorted(counts, reverse=True):
         rank = 0
-        for first, n, offset in bins.place(np.array([length, 1, length * length], np.int64), counts[length]):
-            rows.append((length, rank, n, first, offset))
+        for first, n, offset, each in bins.place(np.array([length, 1, length * length], np.int64), counts[length]):
+            rows.append((length, rank, n, first, offset, each))
             rank += n
     return rows
 
 
-def pack(items: DataFrame, *, length: str = "length", capacity: int = 2048, most_docs: int | None = None, most_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6), rule: str = "norm") -> DataFrame:
+def pack(items: DataFrame, *, length: str = "length", capacity: int = 2048, most_docs: int | None = None, most_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm") -> DataFrame:
     """items' columns, then sequence_id and offset: vector best-fit decreasing over the whole table.
 
-    Capacities of a sequence: `capacity` tokens, `most_docs` items (default: as many as tokens) and `most_attention` for the sum of squared lengths (default: capacity squared; both defaults never bind). An item goes to the open sequence that it leaves with the least weighted residual norm (rule "norm"), or whose residual points most its way ("dot"), among those that hold it under every constraint; else to a new one.
+    Capacities of a sequence: `capacity` tokens, `most_docs` items (default: as many as tokens) and `most_attention` for the sum of squared lengths (default: capacity squared; both defaults never bind, but their residuals count in the choice). Items come longest first. An item goes to the open sequence that it leaves with the least weighted residual norm (rule "norm"), or whose residual points most its way ("dot"), among those that hold it under every constraint; else to a new one.
     Only counts by length reach the driver, `capacity` rows at most. Each partition numbers its items of a length, counts by partition and length turn these into ranks in the table, and ranks look up the plan.
     Items of null or no length get null sequence and offset. A length over a capacity is an error. Repeated rows are items of their own. An empty table gives an empty one. Columns of items that have the new names are dropped.
     """
@@ -120,12 +130,14 @@ def pack(items: DataFrame, *, length: str = "length", capacity: int = 2048, most
     before = F.coalesce(F.sum("items").over(W.partitionBy("start_length").orderBy("start_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
     totals = {r["start_length"]: r["items"] for r in counts.groupBy("start_length").agg(F.sum("items").alias("items")).collect()}
     made = plan(totals, capacity, most_docs or capacity, most_attention or capacity * capacity, weights, rule)
-    steps = spark.createDataFrame(made, "step_length long, first long, step_items long, sequence long, place long")
+    steps = local(spark, made, "step_length long, first long, step_items long, sequence long, place long, each long")
     starts = counts.select("start_part", "start_length", before.alias("before"))
     x = rows.join(starts, (F.col("part") == F.col("start_part")) & (F.col("length") == F.col("start_length")), "left").withColumn("rank", F.col("rank") + F.col("before"))
     on = (F.col("length") == F.col("step_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("step_items"))
     x = x.join(F.broadcast(steps) if len(made) <= BROADCAST_ROWS else steps, on, "left")
-    return x.select(*of_row(items.columns, own), (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), F.col("place").alias("offset"))
+    nth = F.col("rank") - F.col("first")
+    sequence = (F.col("sequence") + F.expr("(rank - first) div each")).alias("sequence_id")
+    return x.select(*of_row(items.columns, own), sequence, (F.col("place") + nth % F.col("each") * F.col("length")).alias("offset"))
 
 
 def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end: int = 0, capacity: int = 2048) -> DataFrame:

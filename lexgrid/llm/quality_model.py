@@ -49,7 +49,7 @@ def fold(doc_id: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most_rows: int = MOST_ROWS, **how) -> Trees:
     """Train on labelled rows outside the held-out fold: label 0 or 1, one row for each id (the larger label), most_rows at most.
 
-    Only their statistics and labels reach the driver. Ids that are null or that docs doesn't hold teach nothing; nor do other labels.
+    Only their statistics and labels reach the driver, most_rows rows at most. Texts of any length are measured whole. Ids that are null or that docs doesn't hold teach nothing; nor do other labels.
     """
     for_python(docs.sparkSession)
     y = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("id").isNotNull() & (fold(F.col("id")) != HELD_OUT))
@@ -62,14 +62,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([statistics(x.as_py()) for x in batch.column(0)], pa.list_(pa.float64())), *batch.columns[1:]], names=["x", "y", "id"])
 
-    got = rows.select("text", "y", "id").mapInArrow(look, "x array<double>, y int, id long").toArrow()
+    # rows of one id teach once, by the least of their statistics
+    seen = rows.select("text", "y", F.col("id").cast("long")).mapInArrow(look, "x array<double>, y int, id long").groupBy("id").agg(F.min(F.struct("x", "y")).alias("s"))
+    got = seen.select("s.x", "s.y", "id").toArrow()
     order = np.lexsort((np.array(got["y"]), np.array(got["id"])))
     x = np.array(got["x"].to_pylist(), np.float64).reshape(-1, len(NAMES))
     return train(x[order], np.array(got["y"], np.float64)[order], **how)
 
 
 def score(docs: DataFrame, model: Trees, *, text: str = "text") -> DataFrame:
-    """docs' columns, then `score`: the probability of label 1, from statistics of the whole text alone. Null and empty texts have the statistics 0 and a score like others. Each row is scored alone. A column of docs named score is dropped."""
+    """docs' columns, then `score`: the probability of label 1, from statistics of the whole text alone. Null and empty texts have the statistics 0 and a score like others. Each row is scored alone, texts of any length whole; an empty table gives an empty one. A column of docs named score is dropped."""
     for_python(docs.sparkSession)
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "score"])
 

@@ -12,6 +12,7 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole document, written to files and read back: null text is empty, rows of null id come first, repeated rows are written as often, an empty table gives an empty one."""
     from lexgrid.llm.token_output import read_tokens, write_tokens
 
     read = read_tokens(write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -34,6 +35,7 @@ def op2_private_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every whole document by a model of the labels outside the held-out fold: null and empty texts have the score of no words, repeated rows are scored each, an empty table gives an empty one."""
     from lexgrid.llm.quality_model import HELD_OUT, THRESHOLD, fold, learn, score
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,12 +45,14 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every whole document in sequences: null text is one token, repeated rows are packed each, an empty table gives an empty one."""
     from lexgrid.llm.packing import pack, pieces
 
     return pack(pieces(table(spark, sf_dir, "documents")))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every URL: null or without :// has empty host and path and the default verdict, repeated rows are judged each, an empty table gives an empty one."""
     from lexgrid.llm.url_filter import filter_urls
 
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -67,6 +71,7 @@ select p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') as verdic
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document: null text has none, null source is the last one, rows that agree in id, source and size count as copies, an empty table gives an empty one."""
     from lexgrid.llm.mixing import mix
 
     sizes = written(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
@@ -94,18 +99,37 @@ select doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 """
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every whole document: null and empty texts have no words and fail, repeated rows are judged each, an empty table gives an empty one."""
     from lexgrid.llm.quality_rules import judge
 
     return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality.*")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every whole document: null and empty texts link with nothing, repeated rows are one class, an empty table gives an empty one."""
     from lexgrid.llm.ngram_join import join_ngrams
 
-    return join_ngrams(table(spark, sf_dir, "documents"), width=3, outer=90, inner=100).select("doc_id", "n_shingles", "component_id", "class_id")
+    return join_ngrams(table(spark, sf_dir, "documents"), width=3, outer=90, inner=100).select("doc_id", "n_shingles", "component_id")
+
+
+#: Words of a text in lower case, and its distinct shingles of three; fewer words make one of all.
+OP8_SQL = rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) end as s from w),
+sized as (select doc_id, s, len(s)::bigint as n, hash(list_sort(s)) as h from sh),
+classes as (select h, min(doc_id) as doc_id, any_value(s) as s, any_value(n) as n from sized where n > 0 group by h),
+e as (select h, n, unnest(s) as x from classes),
+rare as (select x from e group by x having count(*) > 1),
+pairs as (select a.h as a, b.h as b from e a join e b on a.x = b.x and a.h < b.h and 10 * a.n >= 9 * b.n and 10 * b.n >= 9 * a.n join rare on rare.x = a.x group by a.h, b.h, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+links as (select a, b from pairs union select b, a from pairs),
+reach(h, r) as (select h, h from classes union select reach.h, links.b from reach join links on reach.r = links.a),
+parts as (select reach.h, min(c.doc_id) as component_id from reach join classes c on c.h = reach.r group by reach.h)
+select doc_id, n as n_shingles, coalesce(component_id, doc_id) as component_id from sized left join parts on n > 0 and parts.h = sized.h
+"""
 
 
 def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best ten of every query vector: null, empty and non-finite vectors take no part, nor do null ids; ties go to the smaller id; an empty table gives an empty one."""
     from lexgrid.llm.exact_topk import top_k
 
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -122,6 +146,7 @@ select * from ranked where rank <= 10
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines dropped from every whole document: null text is one empty line, rows of one id are one document, an empty table gives an empty one."""
     from lexgrid.llm.line_dedup import dedup_lines
 
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -140,4 +165,4 @@ select doc_id, count(*) as n_lines, count(*) filter (gone)::bigint as n_dropped,
 """
 
 QUERIES = {"op1_token_output": op1_token_output, "op2_private_terms": op2_private_terms, "op3_quality_model": op3_quality_model, "op4_best_fit_packing": op4_best_fit_packing, "op5_url_filter": op5_url_filter, "op6_mix_sources": op6_mix_sources, "op7_quality_rules": op7_quality_rules, "op8_ngram_join": op8_ngram_join, "op9_exact_topk": op9_exact_topk, "op10_line_dedup": op10_line_dedup}
-SQL = {"op5_url_filter": OP5_SQL, "op6_mix_sources": OP6_SQL, "op9_exact_topk": OP9_SQL, "op10_line_dedup": OP10_SQL}
+SQL = {"op5_url_filter": OP5_SQL, "op6_mix_sources": OP6_SQL, "op8_ngram_join": OP8_SQL, "op9_exact_topk": OP9_SQL, "op10_line_dedup": OP10_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexgrid.llm.shared import as_row, lower_az, of_row
+from lexgrid.llm.shared import as_row, local, lower_az, of_row
 
 #: Rules up to this many are broadcast (under 100 bytes each, so 10 MB); more are joined by a shuffle.
 BROADCAST_RULES = 100_000
@@ -55,7 +55,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], *, url: str
         .select("u", digest.alias("digest"))
         .select("u", "digest", F.substring("digest", 1, prefix_digits).alias("prefix"))
     )
-    known = spark.createDataFrame([(h + p, v, len(h)) for v, h, p in rules], "rule string, verdict string, host_length int").select("*", F.sha2("rule", 256).alias("rule_digest"))
+    known = local(spark, [(h + p, v, len(h)) for v, h, p in rules], "rule string, verdict string, host_length int").select("*", F.sha2("rule", 256).alias("rule_digest"))
     known = known.withColumn("prefix", F.substring("rule_digest", 1, prefix_digits))
     met = asked.join(F.broadcast(known) if len(rules) <= BROADCAST_RULES else known, "prefix").filter(F.col("digest") == F.col("rule_digest"))
     rank = F.struct(F.length("rule").alias("n"), F.col("host_length"), (F.col("verdict") == "block").alias("b"), F.col("rule"), F.col("verdict"))
