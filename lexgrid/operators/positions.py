@@ -28,13 +28,15 @@ def each_position(corpus: DataFrame, step: int, back: int, ahead: int, make: Cal
     last = F.least(F.col("n"), F.col("start") + PIECE) - 1
     there = F.when(first <= last, F.sequence(first.cast("long"), last.cast("long"), F.lit(step).cast("long"))).otherwise(F.array().cast("array<bigint>"))
 
-    def one(pos: Column) -> Column:
-        base = (pos - F.col("start") + F.col("lead")).cast("int")
+    # the lambda only cuts; what is made of the bytes is compiled with the rest of the stage
+    def cut(pos: Column) -> Column:
+        before = F.least(pos, F.lit(back).cast("long"))
+        return F.struct(pos.alias("pos"), F.substring("bytes", (pos - F.col("start") + F.col("lead") - before + 1).cast("int"), (before + ahead).cast("int")).alias("around"))
 
-        def at(offset, length):
-            offset = F.lit(offset) if isinstance(offset, int) else offset
-            return F.substring("bytes", base + offset + 1, F.lit(length) if isinstance(length, int) else length)
+    rows = pieces(corpus, back, ahead).select("doc_id", F.explode(F.transform(there, cut)).alias("p")).select("doc_id", "p.*")
+    own = F.least(F.col("pos"), F.lit(back).cast("long")).cast("int")
 
-        return make(at, pos)
+    def at(offset, length):
+        return F.substring("around", own + offset + 1, F.lit(length) if isinstance(length, int) else length)
 
-    return pieces(corpus, back, ahead).select("doc_id", F.explode(F.transform(there, one)).alias("p")).select("doc_id", "p.*")
+    return rows.select("doc_id", make(at, F.col("pos")).alias("made")).select("doc_id", "made.*")
