@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexgrid.llm.shared import written
+from lexgrid.llm.shared import dropped, written
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -16,12 +16,14 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     up = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     now = written(edges.filter(F.col(a) != F.col(b)).select(*up).distinct(), "edges")
     while not is_stars(now):
+        before = now
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         now = written(small, "edges")
+        dropped(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
 
 

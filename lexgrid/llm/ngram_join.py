@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from lexgrid.llm.bloom import Seen, filled, places, size_of, test
 from lexgrid.llm.components import components
-from lexgrid.llm.shared import dropped, for_python, memory_of, written
+from lexgrid.llm.shared import for_python, memory_of, scratch, written
 from lexgrid.llm.sketches import Bands, folded, mixed, parity_bits, shingles
 
 #: Members of a block that meet at a time, about.
 CHUNK = 128
+#: Rows of an Arrow batch where a row holds two sketches, two whole sets, or a chunk of members.
+SKETCH_ROWS, SET_ROWS, CHUNK_ROWS = 500, 64, 8
 LEAST = -(1 << 63)
 
 
 def prints(docs: DataFrame, doc_id: str, text: str, width: int, bands: Bands) -> DataFrame:
-    """(doc_id, n_shingles, class, keys): class is a hash of the whole set; keys are there once for each class and task."""
+    """(doc_id, text_hash, n_shingles, class, keys): class is a hash of the whole set; keys are there once for each class and task."""
 
     def make(batches):
         import pyarrow as pa
@@ -27,17 +29,17 @@ def prints(docs: DataFrame, doc_id: str, text: str, width: int, bands: Bands) ->
         seen: set[int] = set()
         for batch in batches:
             n, own, keys = [], [], []
-            for x in batch.column(1):
+            for x in batch.column(2):
                 members = shingles(x.as_py(), width)
                 name = class_of(members)
                 n.append(len(members))
                 own.append(name)
                 keys.append(None if name in seen or not len(members) else bands.blocks(members).view(np.int64))
                 seen.add(name)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "class", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "class", "keys"])
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(make, "doc_id long, n_shingles long, class long, keys array<long>")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(make, "doc_id long, text_hash long, n_shingles long, class long, keys array<long>")
 
 
 def repeated_blocks(rows: DataFrame) -> DataFrame:
@@ -131,7 +133,7 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
 
     fits = F.lit(bands.inner) * F.least("n_a", "n_b") >= F.lit(bands.outer) * F.greatest("n_a", "n_b")
     near = pairs.join(short.toDF("a", "n_a", "one"), "a").join(short.toDF("b", "n_b", "other"), "b").filter(fits).select("a", "b", "n_a", "n_b", "one", "other")
-    near = written(near.mapInArrow(sketched, "a long, b long").distinct(), "near")
+    near = written(near.mapInArrow(sketched, "a long, b long").distinct(), "near", SKETCH_ROWS)
     x = near.join(sets.select(F.col("class").alias("a"), F.col("members").alias("one")), "a").join(sets.select(F.col("class").alias("b"), F.col("members").alias("other")), "b")
 
     def check(batches):
@@ -146,20 +148,20 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
                 keep.append(bands.link(len(np.intersect1d(mine, there, assume_unique=True)), len(mine), len(there)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return x.select("a", "b", "one", "other").mapInArrow(check, "a long, b long").distinct()
+    return written(x.select("a", "b", "one", "other").mapInArrow(check, "a long, b long").distinct(), "links", SET_ROWS)
 
 
 def within(rows: DataFrame, bands: Bands, turn: int) -> DataFrame:
-    """rows (key, i, j, chunk, members), each a whole chunk of members (class, label, failed, n, bits): of each (key, i, j), pairs (key, a, b) of classes of chunks i and j that may link by sizes and sketches, whose labels differ and which haven't failed.
+    """rows (key, i, j, chunk, members, a, b), each a whole chunk of members (class, label, n, bits), or with chunk -1 a pair of classes that has failed: of each (key, i, j), pairs (key, a, b) of classes of chunks i and j that may link by sizes and sketches, whose labels differ and which haven't failed.
 
     Pairs that join what isn't joined yet if they link, the likeliest first: fewer than the classes that meet. From the second turn on also more pairs of two labels, eight times as many each turn.
     """
 
-    def pairs(group):
-        names, labels, chunks = ([r[k] for r in group] for k in range(3))
-        failed, label, chunks = [set(r[3] or ()) for r in group], np.unique(labels, return_inverse=True)[1], np.array(chunks)
-        sizes, least = np.array([r[4] for r in group]), min(len(r[5]) for r in group)
-        bits, seen, found, root = np.stack([folded(r[5], least) for r in group]), {}, [], list(range(int(label.max()) + 1))
+    def pairs(group, failed):
+        names, chunks = ([r[k] for r in group] for k in (0, 2))
+        label, chunks = np.unique([r[1] for r in group], return_inverse=True)[1], np.array(chunks)
+        sizes, least = np.array([r[3] for r in group]), min(len(r[4]) for r in group)
+        bits, seen, found, root = np.stack([folded(r[4], least) for r in group]), {}, [], list(range(int(label.max()) + 1))
 
         def find(x):
             while root[x] != x:
@@ -168,10 +170,10 @@ def within(rows: DataFrame, bands: Bands, turn: int) -> DataFrame:
 
         for p in range(len(group)):
             rest = np.arange(p + 1, len(group))
-            rest = rest[(label[rest] != label[p]) & (group[0][6] | (chunks[rest] != chunks[p]))]
+            rest = rest[(label[rest] != label[p]) & (group[0][5] | (chunks[rest] != chunks[p]))]
             apart = np.bitwise_count(bits[rest] ^ bits[p]).sum(1)
             near = (bands.inner * np.minimum(sizes[rest], sizes[p]) >= bands.outer * np.maximum(sizes[rest], sizes[p])) & (apart * (bands.inner + bands.outer) <= (sizes[rest] + sizes[p]) * (bands.inner - bands.outer))
-            found += [(int(d), p, int(q)) for d, q in zip(apart[near], rest[near], strict=True) if names[q] not in failed[p] and names[p] not in failed[q]]
+            found += [(int(d), p, int(q)) for d, q in zip(apart[near], rest[near], strict=True) if (min(names[p], names[q]), max(names[p], names[q])) not in failed]
         for _, p, q in sorted(found):
             x, y, two = find(label[p]), find(label[q]), (min(label[p], label[q]), max(label[p], label[q]))
             if x != y or turn and seen.get(two, 0) < 8**turn:
@@ -182,23 +184,27 @@ def within(rows: DataFrame, bands: Bands, turn: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        def told(key, group):
-            out = list(pairs(group)) if len({r[1] for r in group}) > 1 else []
+        def told(key, group, failed):
+            out = list(pairs(group, failed)) if len({r[1] for r in group}) > 1 else []
             return pa.RecordBatch.from_pydict({"key": pa.array([key] * len(out), pa.int64()), "a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
-        now, group = None, []
+        now, group, failed = None, [], set()
         for batch in batches:
-            for key, i, j, chunk, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, i, j) != now and group:
-                    yield told(now[0], group)
-                    group = []
-                now = (key, i, j)
-                group += {m["class"]: (m["class"], m["label"], chunk, m["failed"], m["n"], m["bits"], i == j) for m in members}.values()
+            keys = zip(*(c.to_pylist() for c in batch.columns[:4]), *(c.to_pylist() for c in batch.columns[5:]), strict=True)
+            for k, (key, i, j, chunk, a, b) in enumerate(keys):
+                if (key, i, j) != now:
+                    if group:
+                        yield told(now[0], group, failed)
+                    now, group, failed = (key, i, j), [], set()
+                if chunk < 0:
+                    failed.add((a, b))
+                else:
+                    group += {m["class"]: (m["class"], m["label"], chunk, m["n"], m["bits"], i == j) for m in batch.column(4)[k].as_py()}.values()
         if group:
-            yield told(now[0], group)
+            yield told(now[0], group, failed)
 
     ordered = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "chunk")
-    return ordered.select("key", "i", "j", "chunk", "members").mapInArrow(run, "key long, a long, b long")
+    return written(ordered.select("key", "i", "j", "chunk", "members", "a", "b").mapInArrow(run, "key long, a long, b long"), "pairs", CHUNK_ROWS)
 
 
 def open_blocks(named: DataFrame) -> DataFrame:
@@ -209,63 +215,92 @@ def open_blocks(named: DataFrame) -> DataFrame:
 
 def next_blocks(named: DataFrame, blocks: DataFrame, turn: int) -> DataFrame:
     """(key, n, chosen) of the blocks that are still open. Chosen: those that are among the largest 8^turn open blocks of any of their labels, so that some are while any is open; for these join most and leave little to do in the others."""
-    x = named.join(blocks, "key").select("key", "n", "label").distinct()
-    own = W.partitionBy("key")
-    x = x.select("key", "n", "label", F.min("label").over(own).alias("low"), F.max("label").over(own).alias("high")).filter("low < high")
+    x = written(named.join(blocks, "key").select("key", "n", "label").distinct(), "places")
+    left = x.groupBy("key", "n").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key", "n")
+    # Spark keeps only so many rows of a label before it shuffles them
     place = F.row_number().over(W.partitionBy("label").orderBy(F.col("n").desc(), "key"))
-    return x.select("key", "n", place.alias("place")).groupBy("key", "n").agg((F.min("place") <= 8**turn).alias("chosen"))
+    first = x.join(left.select("key"), "key").withColumn("place", place).filter(F.col("place") <= 8**turn).select("key").distinct().withColumn("first", F.lit(True))
+    return written(left.join(first, "key", "left").select("key", "n", F.coalesce("first", F.lit(False)).alias("chosen")), "open")
+
+
+def meetings(named: DataFrame, chosen: DataFrame, sets: DataFrame, failed: DataFrame) -> DataFrame:
+    """Rows for within(): members of chosen blocks in chunks of about CHUNK, each chunk once for every chunk that it meets; and pairs that have failed, to where their classes meet."""
+    chunk = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
+    dealt = named.join(chosen, "key").select("key", "class", "label", "chunks", chunk.alias("chunk"))
+    parts = dealt.join(sets.select("class", "n", "bits"), "class").groupBy("key", "chunks", "chunk").agg(F.sort_array(F.collect_list(F.struct("class", "label", "n", "bits"))).alias("members"))
+    # a chunk is a row; rows, not members, are dealt to the chunks that they meet
+    parts = parts.select("key", "chunk", "members", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    none = F.lit(None).cast("long")
+    parts = parts.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "members", none.alias("a"), none.alias("b"))
+    one, two = (dealt.select("key", F.col("class").alias(name), F.col("label").alias(f"label_{name}"), F.col("chunk").alias(f"chunk_{name}")) for name in ("a", "b"))
+    known = failed.join(one, "a").join(two, ["key", "b"]).filter("label_a <> label_b")
+    kind = parts.schema["members"].dataType
+    return parts.unionAll(known.select("key", F.least("chunk_a", "chunk_b").alias("i"), F.greatest("chunk_a", "chunk_b").alias("j"), F.lit(-1).alias("chunk"), F.lit(None).cast(kind).alias("members"), "a", "b"))
 
 
 def join_ngrams(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, outer: int = 80, inner: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) for each row: the size of its set of shingles of `width` words, a hash of the set, and the smallest id that links reach.
+    """(doc_id, text_hash, n_shingles, class_id, component_id) for each row: xxhash64 of the text, the size of its set of shingles of `width` words, a hash of the set, and the smallest id that links reach.
 
     Two sets link when inner * intersection >= outer * union. Copies are one class from the start. Each class's parity sketches are joined by blocks (see Bands), so that no link is missed; blocks of two classes or more hold the candidates. Each candidate is verified on whole sets against the smallest class of each of its blocks; components of these links are formed; blocks whose members then have several labels are taken again, in chunks of CHUNK against each other, and each pair in them that labels don't join yet and that single-bit sketches allow is verified, turn by turn until none is left. So a block's members never meet all at once, and every link has been tested or joins what is joined already.
-    Null or empty text, or text of blanks, has no shingles, links with nothing and is its own component. Null ids stand before all others as the smallest id, and such rows have component null. Repeated rows are one class. An empty table gives an empty one. Other columns are not read.
+    Null or empty text, or text of blanks, has no shingles, links with nothing and is its own component. Null ids stand before all others as the smallest id, and such rows have component null. Repeated rows are one class. Texts of any length are read whole. An empty table gives an empty one. Other columns are not read.
     """
-    spark = docs.sparkSession
-    for_python(spark)
+    for_python(docs.sparkSession)
     bands = Bands(outer, inner)
-    sketched = written(prints(docs, doc_id, text, width, bands), "sketches")
-    all_rows = written(sketched.select("doc_id", "n_shingles", "class"), "prints")
-    rows = repeated_blocks(sketched.filter("keys is not null").select("class", "keys"))
-    dropped(sketched)
-    multi = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
-    members = written(rows.join(multi, "key").select("key", "class", "low").distinct(), "members")
-    dropped(rows)
-    reps = all_rows.filter("n_shingles > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("rep"))
-    wanted = written(reps.join(members.select("class").distinct(), "class"), "wanted")
-    sets = sets_of(docs, wanted, doc_id, text, width, bands)
-    links = written(verified(members.filter("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct(), sets, bands), "links")
-    labels = written(components(links, "a", "b"), "labels")
-    named = members.join(labels, members["class"] == labels["node"], "left").select("key", "class", F.coalesce("label", "class").alias("label"))
-    turn, blocks, failed = 0, written(open_blocks(named), "open"), links.limit(0)
-    while True:
-        blocks = written(next_blocks(named, blocks, turn), "open")
-        chosen = blocks.filter("chosen").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-        if chosen.isEmpty():
-            break
-        chunk = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
-        parts = named.join(chosen, "key").select("key", "class", "label", "chunks", chunk.alias("chunk")).join(sets.select("class", "n", "bits"), "class")
-        parts = parts.join(failed.groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("failed")), "class", "left")
-        # a chunk is a row; rows, not members, are dealt to the chunks that they meet
-        parts = parts.groupBy("key", "chunks", "chunk").agg(F.sort_array(F.collect_list(F.struct("class", "label", "failed", "n", "bits"))).alias("members"))
-        parts = parts.select("key", "chunk", "members", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        parts = parts.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "members")
-        asked = written(within(parts, bands, turn), "pairs")
-        # a chosen block without pairs has none to come
-        blocks = blocks.select("key", "n", "chosen").join(asked.select("key").distinct().withColumn("more", F.lit(True)), "key", "left").filter("more or not chosen").select("key", "n")
-        asked = asked.select("a", "b").distinct()
-        more = written(verified(asked, sets, bands), "links")
-        failed = written(failed.unionAll(asked.join(more, ["a", "b"], "left_anti")), "failed")
-        if not more.isEmpty():
-            links = links.unionAll(more)
-            labels = written(components(links, "a", "b"), "labels")
-            named = written(members.join(labels, members["class"] == labels["node"], "left").select("key", "class", F.coalesce("label", "class").alias("label")), "named")
-        turn += 1
-    ends = reps.join(labels, reps["class"] == labels["node"], "left").select("class", F.coalesce("label", "class").alias("label"), "rep")
-    least = ends.groupBy("label").agg(F.min("rep").alias("component"))
-    ends = ends.join(least, "label").select(F.col("class").alias("end_class"), F.when(F.col("component") != LEAST, F.col("component")).alias("component"))
-    out = all_rows.select("doc_id", "n_shingles", "class").join(ends, F.col("class") == F.col("end_class"), "left")
-    out = written(out.select("doc_id", "n_shingles", F.col("class").alias("class_id"), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id")), "joined")
-    dropped(all_rows, members, wanted, sets)
-    return out
+    with scratch() as keep:
+        all_rows, members = candidates(docs, doc_id, text, width, bands, keep)
+        reps = all_rows.filter("n_shingles > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("rep"))
+        labels = linked(docs, doc_id, text, width, bands, members, reps)
+        ends = reps.join(labels, reps["class"] == labels["node"], "left").select("class", F.coalesce("label", "class").alias("label"), "rep")
+        least = ends.groupBy("label").agg(F.min("rep").alias("component"))
+        ends = written(ends.join(least, "label").select(F.col("class").alias("end_class"), F.when(F.col("component") != LEAST, F.col("component")).alias("component")), "ends")
+        out = all_rows.join(ends, F.col("class") == F.col("end_class"), "left")
+        component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+        return keep(written(out.select("doc_id", "text_hash", "n_shingles", F.col("class").alias("class_id"), component.alias("component_id")), "joined"))
+
+
+def candidates(docs: DataFrame, doc_id: str, text: str, width: int, bands: Bands, keep) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n_shingles, class) of all rows, and (key, class, low) of the blocks of two classes or more; low is a block's smallest class."""
+    with scratch() as inner:
+        sketched = written(prints(docs, doc_id, text, width, bands), "sketches")
+        all_rows = written(sketched.select("doc_id", "text_hash", "n_shingles", "class"), "prints")
+        rows = repeated_blocks(sketched.filter("keys is not null").select("class", "keys"))
+        multi = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
+        members = written(rows.join(multi, "key").select("key", "class", "low").distinct(), "members")
+        inner(all_rows, members)
+    return all_rows, members
+
+
+def linked(docs: DataFrame, doc_id: str, text: str, width: int, bands: Bands, members: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, label) of every class of a block: equal labels where links join them."""
+    with scratch() as keep:
+        wanted = written(reps.join(members.select("class").distinct(), "class"), "wanted")
+        sets = sets_of(docs, wanted, doc_id, text, width, bands)
+        links = verified(members.filter("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct(), sets, bands)
+        labels = relabelled(wanted.select(F.col("class").alias("node"), F.col("class").alias("label")), links)
+        named = members.join(labels, members["class"] == labels["node"]).select("key", "class", "label")
+        blocks, failed, turn = written(open_blocks(named), "open"), links.limit(0), 0
+        while True:
+            with scratch() as on:
+                blocks = next_blocks(named, blocks, turn)
+                chosen = blocks.filter("chosen").select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+                if chosen.isEmpty():
+                    break
+                asked = within(meetings(named, chosen, sets, failed), bands, turn)
+                # a chosen block without pairs has none to come
+                blocks = on(written(blocks.join(asked.select("key").distinct().withColumn("more", F.lit(True)), "key", "left").filter("more or not chosen").select("key", "n"), "open"))
+                pairs = asked.select("a", "b").distinct()
+                more = verified(pairs, sets, bands)
+                failed = on(written(failed.unionAll(pairs.join(more, ["a", "b"], "left_anti")), "failed"))
+                if not more.isEmpty():
+                    labels = on(relabelled(labels, more))
+                    named = members.join(labels, members["class"] == labels["node"]).select("key", "class", "label")
+            turn += 1
+        return keep(labels)
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after further links (a, b): only labels that these join are nodes of the components to find."""
+    with scratch() as keep:
+        ends = links.join(labels.toDF("a", "from"), "a").join(labels.toDF("b", "to"), "b").select("from", "to")
+        found = components(ends, "from", "to").toDF("old", "new")
+        return keep(written(labels.join(found, labels["label"] == found["old"], "left").select("node", F.coalesce("new", "label").alias("label")), "labels"))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StructField, StructType
 
-from lexgrid.llm.shared import BLANKS, Words, for_python, memory_of
+from lexgrid.llm.shared import BLANKS, Words, as_row, for_python, memory_of, of_row
 
 #: Fixed values of the contract.
 SYMBOLS, WINDOW, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 8, 20, 30
@@ -20,9 +20,9 @@ BANDS = {
     "latin": (1.2, 9.0, 0.10, 0.68), "greek": (0.6, 6.0, 0.60, 0.55), "cyrillic": (1.0, 8.0, 0.20, 0.62), "hebrew": (0.6, 6.0, 0.60, 0.55), "arabic": (0.6, 6.0, 0.60, 0.55),
     "indic": (0.3, 6.0, 0.90, 0.40), "thai": (0.3, 6.0, 0.90, 0.40), "hangul": (0.3, 5.0, 0.90, 0.50), "kana": (0.3, 5.0, 0.90, 0.50), "han": (0.3, 5.0, 0.90, 0.50), "other": (0.2, 12.0, 0.98, 0.30),
 }
-#: Entropy is measured against that of so many different tokens; texts of fewer tokens than the least aren't held to a band.
-FULL_TOKENS, LEAST_TOKENS = 512, 40
-MOST_KNOWN, LONGEST_KNOWN = 300_000, 48
+#: Entropy is measured against that of so many different tokens.
+FULL_TOKENS = 512
+MOST_KNOWN, LONGEST_KNOWN = 200_000, 48
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double, entropy_share double"
 
 _BLANK = np.zeros(256, bool)
@@ -89,6 +89,12 @@ class Fertility:
         return np.frombuffer(b"".join([known[w] if w in known else extra[w] for w in words] if extra else map(known.__getitem__, words)), "<u4")
 
 
+def fits(band: tuple, per: float, share: float, part: float) -> bool:
+    """Whether characters per token, byte share and entropy share keep to a band."""
+    least, most, most_bytes, least_part = band
+    return least <= per <= most and share <= most_bytes and part >= least_part
+
+
 def measure(text: str | None, vocabulary: Fertility, bands: dict) -> tuple:
     """FIELDS of one text."""
     raw = (text or "").encode()
@@ -106,38 +112,43 @@ def measure(text: str | None, vocabulary: Fertility, bands: dict) -> tuple:
         p = np.unique(ids, return_counts=True)[1] / n
         share, entropy = float(vocabulary.is_byte[ids].mean()), float(-(p * np.log2(p)).sum()) + 0.0
         part = entropy / float(np.log2(min(max(n, 2), FULL_TOKENS)))
-    least, most, most_bytes, least_part = bands.get(script, bands["other"])
-    fits = n < LEAST_TOKENS or (least <= per <= most and share <= most_bytes and part >= least_part)
-    return (len(words), chars, int(counts[_SYMBOL].sum()), len(lines) - len(set(lines)), repeated, failed, not failed and fits, script, n, per, share, entropy, part)
+    good = not failed and fits(bands.get(script, bands["other"]), per, share, part)
+    return (len(words), chars, int(counts[_SYMBOL].sum()), len(lines) - len(set(lines)), repeated, failed, good, script, n, per, share, entropy, part)
 
 
-def rules(text: Column, *, vocabulary: str | None = None, bands: dict | None = None) -> Column:
-    """A struct of FIELDS for each text."""
+def judged(docs: DataFrame, text: str, vocabulary: str | None, bands: dict | None) -> DataFrame:
+    """(row, quality) of each row: quality is a struct of FIELDS."""
     import public_tokenizers
 
-    path, held = vocabulary or public_tokenizers.path("piece_bpe_32k.model"), bands or BANDS
+    for_python(docs.sparkSession)
+    path, held, at = vocabulary or public_tokenizers.path("piece_bpe_32k.model"), bands or BANDS, docs.columns.index(text)
 
-    @F.arrow_udf(FIELDS)
-    def measured(texts):
+    def measured(batches):
         import pyarrow as pa
 
+        kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+        fields = [x.split() for x in FIELDS.split(", ")]
         if path not in _loaded:
             _loaded[path] = Fertility(path)
         _loaded[path].known = memory_of(path, MOST_KNOWN)
-        rows = [measure(x.as_py(), _loaded[path], held) for x in texts]
-        kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
-        fields = [x.split() for x in FIELDS.split(", ")]
-        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+        for batch in batches:
+            rows = [measure(x.as_py(), _loaded[path], held) for x in batch.column(0).field(at)]
+            quality = pa.StructArray.from_arrays([pa.array([r[k] for r in rows], kinds[kind]) for k, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])
+            yield pa.RecordBatch.from_arrays([batch.column(0), quality], names=["row", "quality"])
 
-    return measured(text)
+    boxed = as_row(docs)
+    return boxed.mapInArrow(measured, StructType([*boxed.schema.fields, StructField("quality", StructType.fromDDL(FIELDS))]))
 
 
 def judge(docs: DataFrame, *, text: str = "text", vocabulary: str | None = None, bands: dict | None = None) -> DataFrame:
     """docs' columns, then `quality`: a struct of FIELDS.
 
-    Words, symbols, repeated lines and repeated word windows are counted over the whole text; base_failed says that there are too few words or that too many stand in repeated windows. Each word is then encoded by a public vocabulary: characters per token, share of byte-fallback tokens, and entropy of the tokens, also as a share of what min(tokens, FULL_TOKENS) different tokens have. A text whose script's band doesn't hold them isn't kept.
-    Null or empty texts have no words and fail. Texts of under LEAST_TOKENS tokens aren't held to bands. Each row is judged alone, so ties, repeated rows and empty tables need no rule. A column of docs named quality is dropped.
+    Words, symbols, repeated lines and repeated word windows are counted over the whole text; base_failed says that there are too few words or that too many stand in repeated windows. Each word is then encoded by a public vocabulary: characters per token, share of byte-fallback tokens, and entropy of the tokens, also as a share of what min(tokens, FULL_TOKENS) different tokens have. A text whose script's band doesn't hold them isn't kept, however few its tokens.
+    Null or empty texts have no words and fail. Texts of any length are measured whole, one at a time. Each row is judged alone, so ties, repeated rows and empty tables need no rule. A column of docs named quality is dropped.
     """
-    for_python(docs.sparkSession)
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "quality"])
-    return docs.withColumn("quality", rules(F.col(f"`{text}`"), vocabulary=vocabulary, bands=bands))
+    return judged(docs, text, vocabulary, bands).select(*of_row(docs.columns, ("quality",)), "quality")
+
+
+def kept(docs: DataFrame, *, text: str = "text", vocabulary: str | None = None, bands: dict | None = None) -> DataFrame:
+    """The rows of docs that judge() keeps, with all columns and no other."""
+    return judged(docs, text, vocabulary, bands).filter("quality.kept").select(*of_row(docs.columns))

@@ -72,14 +72,19 @@ class Words:
     """A bounded memory of words in two generations: when the new one holds half of `most`, it becomes the old one; words that are met again come back from there."""
 
     def __init__(self, most: int):
-        self.most, self.old, self.new = most, {}, Known(self.find)
+        self.most, self.old, self.new = most, {}, {}
         self.make, self.longest = None, 0
 
     def made_by(self, make, longest: int) -> Words:
         """`new` makes missing words itself, and keeps them if they are no longer than `longest`."""
-        self.make, self.longest = make, longest
+        if self.make is None:
+            self.make, self.longest, self.new = make, longest, Known(self.find)
         return self
 
+    def empty(self) -> dict:
+        """A new generation: a plain dict, unless it makes missing words."""
+        return Known(self.find) if self.make else {}
+
     def find(self, word):
         value = self.old.get(word)
         if value is None:
@@ -91,7 +96,7 @@ class Words:
     def turned(self) -> Words:
         """Itself, where `new` has room."""
         if len(self.new) > self.most // 2:
-            self.old, self.new = self.new, Known(self.find)
+            self.old, self.new = self.new, self.empty()
         return self
 
     def unknown(self, words: list) -> list:
@@ -100,27 +105,41 @@ class Words:
         if not missing:
             return []
         if len(self.new) + len(missing) > self.most // 2:
-            self.old, self.new = self.new, Known(self.find)
+            self.old, self.new = self.new, self.empty()
             missing = set(words)
         back = {w: self.old[w] for w in missing if w in self.old}
         self.new.update(back)
         return [w for w in missing if w not in back]
 
     def clear(self) -> None:
-        self.new, self.old = Known(self.find), {}
+        self.new, self.old = self.empty(), {}
 
 
 _held: dict[str, Words] = {}
 
 
 def memory_of(name: str, most: int = 0) -> Words:
-    """A worker's memory of words for one operator. Workers live on from stage to stage, so that the others' memories are emptied when another operator asks."""
-    for other, words in _held.items():
-        if other != name:
-            words.clear()
+    """A worker's memory of words for one operator. Workers live on from stage to stage, so that the others' memories are emptied when another operator asks, and the pages go back to the system."""
+    full = [words for other, words in _held.items() if other != name and (words.new or words.old)]
+    for words in full:
+        words.clear()
+    if full:
+        trimmed()
     return _held.setdefault(name, Words(most))
 
 
+def trimmed() -> None:
+    """Give freed memory back, where the C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: Settings while a table is written: shuffle files go when it is there, whatever still refers to the plan.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 #: Row groups of scratch tables, small for the writers' memory.
@@ -174,6 +193,17 @@ def dropped(*tables: DataFrame) -> None:
         at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's. Its rows go to the JVM as Arrow; a list given to createDataFrame would start Python workers of a second kind, which stay."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+    columns = list(zip(*rows, strict=True)) or [()] * len(kind)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
