@@ -3,17 +3,20 @@
 import functools
 import hashlib
 import io
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 LONG = "x" * 300_000
-CLASH = ["size", "sequence_id", "offset", "quality", "score", "mix_size", "mix_taken", "line_total", "class", "key", "id", "text_key", "start", "base", "length", "h", "u", "url_host"]
+CLASH = ["size", "sequence_id", "offset", "quality", "score", "mix_size", "mix_taken", "line_total", "class", "key", "id", "text_key", "start", "base", "length", "h", "u", "url_host", "_u", "_verdict", "before", "first", "sequence", "step_length", "_drop_id", "_drops", "_kept", "_key", "_base", "_terms", "row", "row_id", "rank", "part", "text_hash", "stay_id", "_first", "line_dropped", "mix_size_", "pass", "kept", "rule", "told", "spans", "copies", "drop_id"]
 
 
 def docs_of(spark, rows):
@@ -140,42 +143,78 @@ def test_base_spans_equal_brute_force(spark):
     parts = ["a@b.c", "@", ".", "-", "a", "b1", "12", "255", "256", "1.2.3.4", "0001.2.3.4", "+", " ", "(", ")", "4041894974608795", "4041 8949 7460 8795", "+1 (456) 555-2186", "é", "😀", "_", "..", "c.d", "x_y@z.w", "%"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(2500)] + ["1" * 200_000, "1 " * 60_000, "a." * 60_000 + "@" + "b." * 60_000 + "c", "+" + "(" * 100_000, "1." * 60_000]
     for row in spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", base_spans(F.col("t")).alias("b")).collect():
-        if row.i < 2500 or row.i == 2502:
+        if row.i != 2503:  # where Python's own expression takes quadratic time
             assert [(KINDS[s.kind], s.start, s.end) for s in row.b] == spans_of(texts[row.i]), texts[row.i][:200]
 
 
-def test_terms_that_reveal_an_entity(spark, docs, empty):
+SECRET = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
+
+
+def brute_private(texts, generalise=0.75, evidence=7.0):
+    """(secrets, terms) of each text, by counting all pairs."""
+
+    def bits(v):
+        return sum(-v.count(c) * math.log2(v.count(c) / len(v)) for c in set(v))
+
+    texts = [t or "" for t in texts]
+    base = [spans_of(t) for t in texts]
+    clear = lambda a, b, spans: not any(x < b and a < y for _, x, y in spans)
+    secrets = [[(m.start(), m.end()) for m in re.finditer(r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}", t) if re.search("[A-Za-z]", m[0]) and re.search("[0-9]", m[0]) and bits(m[0]) >= 64 and clear(m.start(), m.end(), s)] for t, s in zip(texts, base, strict=True)]
+    words = [{w.lower() for w in regex.findall(r"\p{L}{3,}", t)} for t in texts]
+    entities = [{k for k, _, _ in b} | {(k, t[x:y].lower()) for k, x, y in b} | ({"secret"} | {("secret", t[x:y]) for x, y in s} if s else set()) for t, b, s in zip(texts, base, secrets, strict=True)]
+    n, n_entity, n_term, both, distinct, per_entity = len(texts), Counter(), Counter(w for ws in words for w in ws), Counter(), {}, {}
+    for t, ws, es in zip(texts, words, entities, strict=True):
+        for e in es:
+            n_entity[e] += 1
+            per_entity.setdefault(e, set()).add(t)
+            for w in ws:
+                both[e, w] += 1
+                distinct.setdefault((e, w), set()).add(t)
+    told, needed = {}, math.log2(max(1, len(n_term))) + evidence
+    for (e, w), k in both.items():
+        p = n_entity[e] / n
+        if p < 1 and len(per_entity[e]) > 1 and len(distinct[e, w]) > 1:
+            pmi = math.log2((k + p) / (n_term[w] + 1) / p)
+            if pmi >= generalise * -math.log2(p) and (len(distinct[e, w]) - 1) * pmi >= needed:
+                told[w] = max(told.get(w, 0), pmi / -math.log2(p))
+    terms = [[(m.start(), m.end(), told[m[0].lower()]) for m in regex.finditer(r"\p{L}{3,}", t) if m[0].lower() in told and clear(m.start(), m.end(), b + [("", *x) for x in s])] for t, b, s in zip(texts, base, secrets, strict=True)]
+    return secrets, terms
+
+
+def check_private(df):
+    from lexgrid.llm.privacy import find_personal
+
+    rows = df.select("doc_id", "text").collect()
+    secrets, terms = brute_private([r.text for r in rows])
+    want = sorted((str(r.doc_id), tuple(s), tuple((a, b, round(d, 9)) for a, b, d in t)) for r, s, t in zip(rows, secrets, terms, strict=True))
+    got = sorted((str(r.doc_id), tuple((s.start, s.end) for s in r.secrets), tuple((t.start, t.end, round(t.disclosure, 9)) for t in r.terms)) for r in find_personal(df).collect())
+    assert got == want
+    return sum(map(len, secrets)), sum(map(len, terms))
+
+
+def test_secrets_and_terms_equal_brute_force(spark, docs, empty):
     from lexgrid.llm.privacy import find_personal, sanitise
 
-    filler = [(100 + k, f"ordinary text number{k} speaks of common things and weather today", "a") for k in range(60)]
-    mine = [(k, f"report {k} common things about zanzibar owner jo@ex.org and weather", "a") for k in range(1, 6)]
+    gap = "common things and weather today " * 20
+    filler = [(100 + k, f"ordinary text number{k} {gap}", "a") for k in range(600)]
+    far = [(k, f"Quixote {k} {gap} jo@ex.org {gap} QUIXOTE", "a") for k in range(1, 5)]
+    others = [(10, f"{gap} only quixote here, and again x.quixote", "a"), (11, None, "a"), (12, "", "a"), (13, f'token = "{SECRET}" and more', "a")]
+    tokens = [(20 + k, f'{gap} {k} token = "{SECRET[k:]}{k}a"', "a") for k in range(12)]
     once = [(50, "a singular rarity beside only@once.org here", "a"), (51, "a singular rarity beside only@once.org here", "a")]
-    df = docs_of(spark, filler + mine + once)
-    found = {r.doc_id: r for r in find_personal(df).collect()}
-    assert all([t.value for t in found[k].terms] == ["owner", "report", "zanzibar"] or sorted(t.value for t in found[k].terms) == ["about", "owner", "report", "zanzibar"] for k in range(1, 6))
-    assert not found[50].terms and not found[100].terms and len(found) == 67
+    df = docs_of(spark, far + others + tokens + once + filler)
+    n_secrets, n_terms = check_private(df)
+    assert n_secrets == 13 and n_terms == 8 + 2 + 13
     clean = {r.doc_id: r for r in sanitise(df).collect()}
-    assert "[EMAIL]" in clean[1].text and "zanzibar" not in clean[1].text and "[TERM]" in clean[1].text and "weather" in clean[1].text
-    assert clean[100].text == filler[0][1] and clean[1].size == "clash"
-    got = find_personal(docs)
-    assert got.count() == len(ROWS) and sanitise(docs).count() == len(ROWS) and sanitise(docs).columns == docs.columns
-    assert {r.doc_id: r.text for r in sanitise(docs).collect()}[3] is None
+    assert "[EMAIL]" in clean[1].text and "[SECRET]" in clean[20].text and SECRET[:15] not in clean[13].text and clean[1].size == "clash"
+    assert not any(w in (r.text or "").lower() for r in clean.values() for w in ("quixote", "token"))
+    assert "rarity" in clean[50].text and clean[100].text == filler[0][1] and clean[11].text is None and clean[12].text == ""
+    assert find_personal(docs).count() == len(ROWS) and sanitise(docs).count() == len(ROWS) and sanitise(docs).columns == docs.columns
     assert find_personal(empty).count() == 0 and sanitise(empty).count() == 0
 
 
-def test_terms_that_reveal_are_found_in_whole_documents_and_everywhere(spark):
-    from lexgrid.llm.privacy import find_personal, sanitise
-
-    gap = "common things and weather today " * 20
-    far = [(k, f"Quixote {k} {gap} jo@ex.org {gap} QUIXOTE", "a") for k in range(1, 4)]
-    others = [(10, f"{gap} only quixote here, and again x.quixote", "a"), (11, None, "a")]
-    filler = [(100 + k, f"ordinary text number{k} {gap}", "a") for k in range(600)]
-    df = docs_of(spark, far + others + filler)
-    found = {r.doc_id: [(t.value, t.start, t.end) for t in r.terms] for r in find_personal(df).collect()}
-    for k, text, _ in far + others:
-        assert found[k] == [("quixote", m.start(), m.end()) for m in re.finditer("quixote", (text or "").lower())], k
-    assert not any(found[k] for k, _, _ in filler)
-    assert not any("quixote" in (r.text or "").lower() for r in sanitise(df).collect())
+def test_terms_of_a_whole_table_equal_brute_force(spark):
+    secrets, terms = check_private(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert secrets and terms
 
 
 def test_quality_model_held_out_accuracy_and_edges(spark, docs, empty):
@@ -247,6 +286,32 @@ def test_packing_covers_all_and_stays_within_capacities(spark, docs, empty):
         plan({200: 1}, 128, 128, 128 * 128, (1.0, 0.0, 0.0), "norm")
 
 
+@pytest.mark.parametrize("most_docs, most_attention", [(128, 128 * 128), (3, 128 * 128), (128, 6000), (2, 9000)])
+def test_plan_equals_vector_best_fit_item_by_item(most_docs, most_attention):
+    from lexgrid.llm.packing import plan
+
+    r = random.Random(most_docs)
+    counts = {n: r.randint(1, 9) for n in r.sample(range(1, 77), 40)}
+    capacity, bins = np.array([128, most_docs, most_attention]), []
+    for n in sorted(counts, reverse=True):
+        need = np.array([n, 1, n * n])
+        for _ in range(counts[n]):
+            fits = [(float(np.sqrt((((left - need) / capacity) ** 2).sum())), k) for k, (left, _) in enumerate(bins) if (left >= need).all()]
+            if not fits:
+                bins.append([capacity.copy(), []])
+                fits = [(0, len(bins) - 1)]
+            left, held = bins[min(fits)[1]]
+            left -= need
+            held.append(n)
+    made = {}
+    for n, _, items, first, offset, each in plan(counts, 128, most_docs, most_attention, (1.0, 1.0, 1.0), "norm"):
+        for i in range(items):
+            made.setdefault(first + i // each, []).append((offset + i % each * n, n))
+    for held in made.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(held), sorted(held)[1:], strict=False))
+    assert sorted(tuple(n for _, n in sorted(x)) for x in made.values()) == sorted(tuple(x) for _, x in bins)
+
+
 def test_urls(spark):
     from lexgrid.llm.queries import URL_RULES
     from lexgrid.llm.url_filter import filter_urls
@@ -282,9 +347,9 @@ def test_mix_reaches_targets_exactly(spark, docs, empty):
     assert collected(mix(docs), "doc_id", "mix_taken") == collected(mix(docs.repartition(3)), "doc_id", "mix_taken")
     small = mix(docs, bucket_rows=1)
     assert collected(small, "doc_id", "mix_taken") == collected(mix(docs), "doc_id", "mix_taken")
-    taken = take(mix(docs), docs.columns)
+    taken = take(docs)
     assert taken.columns == docs.columns and sum(words(r.text) for r in taken.collect()) == sum(r.mix_taken for r in out)
-    assert mix(empty).count() == 0 and take(mix(empty), empty.columns).count() == 0
+    assert mix(empty).count() == 0 and take(empty).count() == 0
 
 
 def measured(text):
@@ -356,6 +421,26 @@ def test_ngram_join_equals_brute_force(spark, width, outer):
     assert got == brute_join(rows, width, outer, 100)
 
 
+def test_ngram_join_in_chunks_and_turns(spark, monkeypatch):
+    """A block over many chunks, and links that the first turn's forest doesn't test."""
+    from lexgrid.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "CHUNK", 2)
+    turns, real = [], ngram_join.within
+    monkeypatch.setattr(ngram_join, "within", lambda rows, bands, turn: turns.append(turn) or real(rows, bands, turn))
+    r, rows = random.Random(8), []
+    for g in range(3):
+        base = [f"g{g}w{k}" for k in range(30)]
+        for _ in range(14):
+            w = list(base)
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(len(w))] = f"n{r.randint(0, 50)}"
+            rows.append((len(rows), " ".join(w)))
+    df = docs_of(spark, [(k, t, "a") for k, t in rows])
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.join_ngrams(df, width=1, outer=80, inner=100).collect())
+    assert got == brute_join(rows, 1, 80, 100) and max(turns) >= 1
+
+
 def test_closed_blocks_take_no_places(spark):
     from lexgrid.llm.ngram_join import next_blocks
 

@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.test_operators import ROWS, brute_join, brute_lines, docs_of, measured, tokens_of
+from tests.llm.test_operators import CLASH, ROWS, brute_join, brute_lines, docs_of, measured, tokens_of
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +51,9 @@ def test_stages(spark, real, which):
     for r in packed:
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
     assert not fill or max(fill.values()) <= 2048
+    if which == "odd":
+        for stage in (kept, lines, single, mixed):
+            assert all(r[c] == "clash" for r in stage.collect() for c in CLASH)
     if which == "real":
         texts = {}
         for r in mixed.collect():
