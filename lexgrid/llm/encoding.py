@@ -4,28 +4,32 @@ from __future__ import annotations
 
 import json
 import os
+import string
 from array import array
 
-import numpy as np
-
 from lexgrid.llm.shared import Words, memory_of
 
 #: Words kept at most in a worker's memory (about 180 MB), and the longest kept; longer ones are encoded anew.
 MOST_WORDS, LONGEST_WORD = 900_000, 48
-#: Marks, and the last letter of the Latin blocks.
-MARKS, LAST_LATIN = ".,;:!?", "\u024f"
+#: Marks, which are no letters, digits or blanks, and the last letter of the Latin blocks.
+MARKS, LAST_LATIN = string.punctuation, "\u024f"
 #: Byte-level vocabularies write a byte as the character of its number if that is visible in Latin-1, and the others in turn as the characters from 256 on.
 BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+SPACE = chr(BYTES[0x20])
 #: Stands for a line's end at the start of a word; a text that holds it is encoded whole.
 LINE = "\x03"
 
 _loaded: dict = {}
 
 
+class NotByWord(ValueError):
+    """A text's words can't be encoded one by one."""
+
+
 class Encoder:
     """Texts to ids by the tokenizers library, as bytes: little-endian unsigned 32-bit integers.
 
-    A byte-level vocabulary without a normalizer splits a text, before it merges bytes, in front of each single space or line end that stands between two characters which aren't white space; a line end there is a split of its own. So such a text is cut into words, and each distinct word encoded once: all new words of a text in one call, joined by line ends, whose id then tells where to cut. Texts with other white space, and all texts of other vocabularies, are encoded whole.
+    A byte-level vocabulary without a normalizer splits a text, before it merges bytes, in front of each single space or line end that stands between two characters which aren't white space; a line end there is a split of its own. So such a text is cut into words, and each distinct word encoded when it is first met. Texts with other white space, and all texts of other vocabularies, are encoded whole.
     Special tokens' strings in a text are ordinary text.
     """
 
@@ -43,7 +47,6 @@ class Encoder:
         self.by_word = made.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.size = self.tokenizer.get_vocab_size()
         self.line = self.whole("\n")
-        self.by_word &= len(self.line) == 4
         self.tokenize = self.tokenizer.model.tokenize
         self.words = Words(MOST_WORDS)
         self.marks: dict[str, bytes] = {}
@@ -51,67 +54,46 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def joined(self, words: list[str], before: str) -> list[bytes] | None:
-        """Ids of each word, which `before` precedes; None if the line end's id isn't only between them."""
-        raw = self.whole("\n".join([before + w for w in words]))
-        ids = np.frombuffer(raw, "<u4")
-        ends = (4 * np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0])).tolist()
-        if len(ends) != len(words) - 1:
-            return None
-        return [raw[a:b] for a, b in zip([0, *[x + 4 for x in ends]], [*ends, len(raw)], strict=True)]
+    def tail(self, marks: str) -> bytes:
+        if len(marks) > LONGEST_WORD:
+            return self.whole(marks)
+        if marks not in self.marks:
+            if len(self.marks) >= MOST_WORDS // 16:
+                self.marks.clear()
+            self.marks[marks] = self.whole(marks)
+        return self.marks[marks]
 
-    def add(self, new: list[str], into: dict[str, bytes]) -> bool:
-        """Encode words into `into`; False if that can't be done by word.
+    def word(self, w: str) -> bytes:
+        """Ids of a word and the blank before it.
 
         A word of Latin letters, and marks after it, is one split of letters and one of marks: the letters go to the model at once, the marks are remembered.
         """
-        rest = []
-        for w in new:
-            c = w.rstrip(MARKS)
-            x = c[1:] if w[0] == LINE else c
-            if not x.isalpha() or max(x) > LAST_LATIN:
-                rest.append(w)
-                continue
-            if x is c:
-                x = " " + x
-            raw = array("I", [t.id for t in self.tokenize(x.encode().decode("latin-1").translate(BYTES))]).tobytes()
-            if c is not w and len(c) < len(w):
-                tail = w[len(c) :]
-                if tail not in self.marks:
-                    self.marks[tail] = self.whole(tail)
-                raw += self.marks[tail]
-            into[w] = self.line + raw if w[0] == LINE else raw
-        for some, before in (([w for w in rest if w[0] != LINE], " "), ([w for w in rest if w[0] == LINE], "")):
-            if some:
-                got = self.joined([w.removeprefix(LINE) for w in some], before)
-                if got is None:
-                    return False
-                into.update(zip(some, got if before else [self.line + x for x in got], strict=True))
-        return True
+        if w.split() != [w]:
+            raise NotByWord
+        c = w.rstrip(MARKS)
+        if not (x := c[1:] if w[0] == LINE else c).isalpha() or not x.isascii() and max(x) > LAST_LATIN:
+            return self.line + self.whole(w[1:]) if w[0] == LINE else self.whole(" " + w)
+        if len(c) < len(w):
+            return self.words.new[c] + self.tail(w[len(c) :])
+        x = x.encode().decode("latin-1").translate(BYTES) if not x.isascii() else x
+        raw = array("I", [t.id for t in self.tokenize(x if w[0] == LINE else SPACE + x)]).tobytes()
+        return self.line + raw if w[0] == LINE else raw
 
     def encode(self, text: str) -> bytes:
         if not self.by_word or LINE in text or not text:
             return self.whole(text)
-        words = (LINE + text.replace("\n", " " + LINE)).split(" ")
-        new = self.words.unknown(words)
-        known = self.words.new
-        if not new:
-            return b"".join(map(known.__getitem__, words))[4:]
-        got: dict[str, bytes] = {}
-        if "\n".join(new).split() != new or LINE in new or not self.add(new, got):
+        try:
+            known = self.words.turned().new
+            return b"".join(map(known.__getitem__, (LINE + text.replace("\n", " " + LINE)).split(" ")))[len(self.line) :]
+        except NotByWord:
             return self.whole(text)
-        if max(map(len, got)) <= LONGEST_WORD:
-            known.update(got)
-            return b"".join(map(known.__getitem__, words))[4:]
-        known.update({w: x for w, x in got.items() if len(w) <= LONGEST_WORD})
-        return b"".join([known[w] if w in known else got[w] for w in words])[4:]
 
 
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a vocabulary file."""
     if path not in _loaded:
         _loaded[path] = Encoder(path)
-    _loaded[path].words = memory_of(path, MOST_WORDS)
+    _loaded[path].words = memory_of(path, MOST_WORDS).made_by(_loaded[path].word, LONGEST_WORD)
     return _loaded[path]
 
 
