@@ -143,7 +143,7 @@ def pack(items: DataFrame, *, length: str = "length", capacity: int = 2048, most
 def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end: int = 0, capacity: int = 2048) -> DataFrame:
     """Documents to pieces of at most `capacity` ids: doc_id, piece, start, length, ids_crc32.
 
-    A null text is an empty one; each document ends with the id `end`. Only longer documents are cut, from the back, so that the first piece takes what is over. Repeated rows are documents of their own; other columns are not read.
+    A null text is an empty one; each document ends with the id `end`. Only longer documents are cut, from the back, so that the first piece takes what is over. Repeated rows are documents of their own, texts of any length are read whole, an empty table gives an empty one; other columns are not read.
     """
     for_python(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
@@ -169,4 +169,5 @@ def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocab
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return rows.mapInArrow(cut, PIECES)
+    # a table of its own: two Python steps in a row would take two workers for each task
+    return written(rows.mapInArrow(cut, PIECES), "pieces")
