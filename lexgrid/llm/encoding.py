@@ -29,7 +29,7 @@ class NotByWord(ValueError):
 class Encoder:
     """Texts to ids by the tokenizers library, as bytes: little-endian unsigned 32-bit integers.
 
-    A byte-level vocabulary without a normalizer splits a text, before it merges bytes, in front of each single space or line end that stands between two characters which aren't white space; a line end there is a split of its own. So such a text is cut into words, and each distinct word encoded when it is first met. Texts with other white space, and all texts of other vocabularies, are encoded whole.
+    A byte-level vocabulary without a normalizer splits a text, before it merges bytes, in front of each single space or line end that stands between two characters which aren't white space; a line end there is a split of its own, and so are both of two line ends, or a line end before a space. So such a text is cut into words, and each distinct word encoded when it is first met. Texts with other white space, such as two line ends before more of it or at the end, which are one split, and all texts of other vocabularies, are encoded whole.
     Special tokens' strings in a text are ordinary text.
     """
 
@@ -48,7 +48,7 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.line = self.whole("\n")
         self.tokenize = self.tokenizer.model.tokenize
-        self.words = Words(MOST_WORDS)
+        self.words = Words(MOST_WORDS).made_by(self.word, LONGEST_WORD)
         self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -80,7 +80,7 @@ class Encoder:
         return self.line + raw if w[0] == LINE else raw
 
     def encode(self, text: str) -> bytes:
-        if not self.by_word or LINE in text or not text:
+        if not self.by_word or not text or LINE in text or "\n\n\n" in text or "\n\n " in text or text.endswith("\n\n"):
             return self.whole(text)
         try:
             known = self.words.turned().new

@@ -77,6 +77,18 @@ def test_encoder_equals_whole_texts():
         assert e.encode(text) == tokens_of(text)[:-1].tobytes(), repr(text)
 
 
+def test_encoder_line_ends():
+    import public_tokenizers
+
+    from lexgrid.llm.encoding import encoder
+
+    e = encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for a in ("", "x", "Über,", "x\n", "12"):
+        for ends in ("\n", "\n\n", "\n\n\n", "\n ", "\n\n ", "\n\n\n ", "\n \n", " \n\n"):
+            for b in ("", "x", ",", "\xa0x", "'s", " x"):
+                assert e.encode(a + ends + b) == tokens_of(a + ends + b)[:-1].tobytes(), repr(a + ends + b)
+
+
 def test_token_files_round_trip_and_random_access(spark, docs, empty):
     from lexgrid.llm.token_output import read_tokens, write_tokens
 
