@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+from itertools import batched
+
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexgrid.llm.bloom import Seen, filled, places, size_of, test
 from lexgrid.llm.components import components
-from lexgrid.llm.shared import for_python, memory_of, scratch, written
+from lexgrid.llm.shared import BATCH_ROWS, for_python, memory_of, scratch, written
 from lexgrid.llm.sketches import Bands, folded, mixed, parity_bits, shingles
 
 #: Members of a block that meet at a time, about.
 CHUNK = 128
 #: Rows of an Arrow batch where a row holds two sketches, two whole sets, or a chunk of members.
 SKETCH_ROWS, SET_ROWS, CHUNK_ROWS = 500, 64, 8
-LEAST = -(1 << 63)
+#: Keys that a task deals out at a time, at least; shingles of a part of the keys, about; keys of a part that are held before they meet; and most rows of an Arrow batch of such keys.
+FLUSH, PART, MOST_HELD, KEY_ROWS = 1 << 19, 500_000, 1 << 20, 200
+LEAST, ALONE = -(1 << 63), np.uint64(0xD6E8FEB86659FD93)
 
 
 def prints(docs: DataFrame, doc_id: str, text: str, width: int, bands: Bands) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, class, keys): class is a hash of the whole set; keys are there once for each class and task."""
+    """(doc_id, text_hash, n_shingles, class, bits): class is a hash of the whole set; bits, its sketch of single bits, is there once for each class and task."""
 
     def make(batches):
         import pyarrow as pa
@@ -28,45 +33,121 @@ def prints(docs: DataFrame, doc_id: str, text: str, width: int, bands: Bands) ->
         memory_of("shingles")
         seen: set[int] = set()
         for batch in batches:
-            n, own, keys = [], [], []
+            n, own, bits = [], [], []
             for x in batch.column(2):
                 members = shingles(x.as_py(), width)
                 name = class_of(members)
                 n.append(len(members))
                 own.append(name)
-                keys.append(None if name in seen or not len(members) else bands.blocks(members).view(np.int64))
+                bits.append(None if name in seen or not len(members) else parity_bits(members, bands))
                 seen.add(name)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "class", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(own, pa.int64()), pa.array(bits, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "class", "bits"])
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(make, "doc_id long, text_hash long, n_shingles long, class long, keys array<long>")
-
+    return rows.mapInArrow(make, "doc_id long, text_hash long, n_shingles long, class long, bits binary")
 
-def repeated_blocks(rows: DataFrame) -> DataFrame:
-    """rows (class, keys) to (class, key) of the keys that may stand in two rows. Two Bloom filters of bounded size, of keys seen and seen again, leave out the rest where they are read: most sets have no near copy, and none of their keys are shuffled."""
-    size = size_of(rows.agg(F.sum(F.size("keys"))).first()[0] or 0)
 
-    def fill(batches):
-        seen = Seen(size)
-        for batch in batches:
-            seen.add(batch.column(1).flatten().to_numpy().view(np.uint64))
-        yield from seen.batches()
+def dealt_keys(found, bands: Bands, parts: int):
+    """Sets (class, members) to rows (part, keys, classes) of many keys each: a part is a key's low bits, and of the key its high 48 bits go, so that a key and its class take 14 bytes."""
+    most = max(FLUSH, 32 * parts)
 
-    again = filled(rows.mapInArrow(fill, Seen.SCHEMA), size, twice=True)
+    def rows(keys, names):
+        import pyarrow as pa
 
-    def pick(batches):
+        keys, names = np.concatenate(keys), np.concatenate(names)
+        part = (keys & np.uint64(parts - 1)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        keys, names = keys[order].view(np.uint8).reshape(-1, 8)[:, 2:], names[order]
+        there, start = np.unique(part[order], return_index=True)
+        ends = np.append(start[1:], len(names))
+        for k in range(0, len(there), BATCH_ROWS):
+            cuts = [(int(x), int(y)) for x, y in zip(start[k : k + BATCH_ROWS], ends[k : k + BATCH_ROWS], strict=True)]
+            columns = [pa.array(there[k : k + BATCH_ROWS], pa.int32()), pa.array([keys[x:y].tobytes() for x, y in cuts], pa.binary()), pa.array([names[x:y].tobytes() for x, y in cuts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "keys", "classes"])
+
+    keys, names, held = [], [], 0
+    for name, members in found:
+        keys.append(bands.blocks(members))
+        names.append(np.full(len(keys[-1]), name, np.int64))
+        held += len(keys[-1])
+        if held >= most:
+            yield from rows(keys, names)
+            keys, names, held = [], [], 0
+    if held:
+        yield from rows(keys, names)
+
+
+class Part:
+    """Blocks of two classes or more among a part's keys. It holds each key once, and up to MOST_HELD of what hasn't met the others yet, however many classes have a key."""
+
+    def __init__(self):
+        self.keys, self.lows, self.told = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.new: list = []
+        self.held, self.first = 0, True
+
+    def add(self, keys: bytes, classes: bytes):
+        whole = np.zeros((len(keys) // 6, 8), np.uint8)
+        whole[:, 2:] = np.frombuffer(keys, np.uint8).reshape(-1, 6)
+        self.new.append((whole.view(np.uint64).ravel(), np.frombuffer(classes, np.int64)))
+        self.held += len(whole)
+        if self.held >= MOST_HELD:
+            yield from self.met(False)
+
+    def met(self, end: bool):
+        """(key, class, low, pair) of what is new. low is the smallest class of the block among the first that met; a pair is a block that has two classes and gets no more."""
+        if not self.new:
+            return
+        k, c = (np.concatenate(x) for x in zip(*self.new, strict=True))
+        self.new, self.held = [], 0
+        order = np.lexsort((c, k))
+        k, c = k[order], c[order]
+        on = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))
+        k, c = k[on], c[on]
+        names, start, group, n = np.unique(k, return_index=True, return_inverse=True, return_counts=True)
+        low, told, known = c[start].copy(), np.zeros(len(names), bool), np.zeros(len(names), bool)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, names), len(self.keys) - 1)
+            known = self.keys[at] == names
+            low[known], told[known] = self.lows[at[known]], self.told[at[known]]
+        other = c != low[group]
+        meets = np.bincount(group[other], minlength=len(names)) > 0
+        pair = (n == 2) & end & self.first
+        heads = meets & ~told
+        yield np.append(names[heads], k[other]), np.append(low[heads], c[other]), np.append(low[heads], low[group][other]), np.append(pair[heads], pair[group][other])
+        if not end:
+            if len(self.keys):
+                self.told[at[known & meets]] = True
+            order = np.argsort(np.append(self.keys, names[~known]), kind="stable")
+            self.keys, self.lows, self.told = (np.append(x, y[~known])[order] for x, y in ((self.keys, names), (self.lows, low), (self.told, meets)))
+        self.first = False
+
+
+def blocks_of(docs: DataFrame, reps: DataFrame, items: int, doc_id: str, text: str, width: int, bands: Bands) -> DataFrame:
+    """(key, class, low, pair) of the blocks of two classes or more, for reps (class, rep) of `items` shingles in all; see Part. Keys are shuffled once, many in a row, so that disk grows with the keys whatever their number."""
+    parts = min(1 << 16, 1 << (items // PART).bit_length())
+
+    def deal(found):
+        yield from dealt_keys(found, bands, parts)
+
+    def meet(batches):
         import pyarrow as pa
 
-        twice = np.frombuffer(again.value, np.uint8)
+        def rows(part, made):
+            for key, *rest in made:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in ((key | np.uint64(part)).view(np.int64), *rest)], names=["key", "class", "low", "pair"])
+
+        now, held = None, Part()
         for batch in batches:
-            keys = batch.column(1).flatten()
-            a, b = places(keys.to_numpy().view(np.uint64), size)
-            hit = pa.array(np.flatnonzero(test(twice, a) & test(twice, b)))
-            own = pa.array(np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy()))
-            yield pa.RecordBatch.from_arrays([own.take(hit), keys.take(hit)], names=["class", "key"])
-
-    out = written(rows.mapInArrow(pick, "class long, key long"), "blocks")
-    again.destroy()
+            for part, keys, classes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    yield from rows(now, held.met(True))
+                    now, held = part, Part()
+                yield from rows(now, held.add(keys, classes))
+        yield from rows(now, held.met(True))
+
+    dealt, filters = picked(docs, reps, doc_id, text, width, deal, "part int, keys binary, classes binary")
+    out = written(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "key long, class long, low long, pair boolean"), "members", min(KEY_ROWS, max(8, parts)))
+    filters.destroy()
     return out
 
 
@@ -78,18 +159,19 @@ def class_of(members: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int, bands: Bands) -> DataFrame:
-    """(class, n, members, bits) for wanted (class, rep), from the text of the document rep. members: its shingles' hashes, sorted; bits: its sketch of single bits.
+def picked(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int, made, schema: str) -> tuple[DataFrame, Broadcast]:
+    """What made() yields from the (class, members) of wanted (class, rep), from the text of the document rep. members: its shingles' hashes, sorted.
 
-    A Bloom filter of the wanted pairs of class and id, of bounded size, picks the documents where they are read, so that neither texts nor sets are shuffled. The few others that it lets through do no harm: nothing asks for them. A class that several tasks read has a row from each.
+    A Bloom filter of the wanted ids and one of the wanted pairs of class and id, of bounded size, pick the documents where they are read, so that neither texts nor sets are shuffled. The few others that they let through do no harm. A class that several tasks read comes from each. Then the filters, to be destroyed after use.
     """
-    size = size_of(wanted.count())
+    size = size_of(2 * wanted.count())
+    alone = lambda ids: mixed(ids.to_numpy().view(np.uint64) + ALONE)
     both = lambda ids, names: mixed(mixed(ids.to_numpy().view(np.uint64)) ^ names)
 
     def fill(batches):
         seen = Seen(size)
         for batch in batches:
-            seen.add(both(batch.column(0), batch.column(1).to_numpy().view(np.uint64)))
+            seen.add(np.concatenate([alone(batch.column(0)), both(batch.column(0), batch.column(1).to_numpy().view(np.uint64))]))
         yield from seen.batches()
 
     pairs = filled(wanted.select("rep", "class").mapInArrow(fill, Seen.SCHEMA), size)
@@ -97,27 +179,39 @@ def sets_of(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: i
     def make(batches):
         import pyarrow as pa
 
+        memory_of("shingles")
         filter_, done = np.frombuffer(pairs.value, np.uint8), set()
-        for batch in batches:
-            made = [shingles(x.as_py(), width) for x in batch.column(1)]
-            names = np.array([class_of(m) for m in made], np.int64)
-            a, b = places(both(batch.column(0), names.view(np.uint64)), size)
-            out = []
-            for k in np.flatnonzero(test(filter_, a) & test(filter_, b)):
-                if len(made[k]) and int(names[k]) not in done:
-                    done.add(int(names[k]))
-                    out.append((int(names[k]), made[k]))
-            columns = [pa.array([k for k, _ in out], pa.int64()), pa.array([len(m) for _, m in out], pa.int64()), pa.array([m.tobytes() for _, m in out], pa.binary()), pa.array([parity_bits(m, bands) for _, m in out], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["class", "n", "members", "bits"])
+
+        def there(hashes):
+            a, b = places(hashes, size)
+            return test(filter_, a) & test(filter_, b)
+
+        def found():
+            for batch in batches:
+                batch = batch.filter(pa.array(there(alone(batch.column(0)))))
+                sets = [shingles(x.as_py(), width) for x in batch.column(1)]
+                names = np.array([class_of(m) for m in sets], np.int64)
+                for k in np.flatnonzero(there(both(batch.column(0), names.view(np.uint64)))):
+                    if len(sets[k]) and int(names[k]) not in done:
+                        done.add(int(names[k]))
+                        yield int(names[k]), sets[k]
+
+        yield from made(found())
 
     rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(LEAST)).alias("id"), F.col(f"`{text}`").alias("text"))
-    out = written(rows.mapInArrow(make, "class long, n long, members binary, bits binary"), "sets")
-    pairs.destroy()
-    return out
+    return rows.mapInArrow(make, schema), pairs
+
 
+def whole_sets(found):
+    """Sets (class, members) to rows of them."""
+    import pyarrow as pa
 
-def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """The pairs (a, b) of classes whose sets link: first by sizes and sketches of single bits, which leave little more than links, then by whole sets."""
+    for some in batched(found, SET_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int64()), pa.array([m.tobytes() for _, m in some], pa.binary())], names=["class", "members"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, whole, bands: Bands) -> DataFrame:
+    """The pairs (a, b) of classes whose sets link: first by sizes and sketches of single bits, which leave little more than links, then by whole sets, which whole() makes of the classes that are left."""
     short = sets.select("class", "n", "bits")
 
     def sketched(batches):
@@ -134,7 +228,10 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     fits = F.lit(bands.inner) * F.least("n_a", "n_b") >= F.lit(bands.outer) * F.greatest("n_a", "n_b")
     near = pairs.join(short.toDF("a", "n_a", "one"), "a").join(short.toDF("b", "n_b", "other"), "b").filter(fits).select("a", "b", "n_a", "n_b", "one", "other")
     near = written(near.mapInArrow(sketched, "a long, b long").distinct(), "near", SKETCH_ROWS)
-    x = near.join(sets.select(F.col("class").alias("a"), F.col("members").alias("one")), "a").join(sets.select(F.col("class").alias("b"), F.col("members").alias("other")), "b")
+    if near.isEmpty():
+        return near
+    full = whole(near.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    x = near.join(full.toDF("a", "one"), "a").join(full.toDF("b", "other"), "b")
 
     def check(batches):
         import pyarrow as pa
@@ -241,15 +338,14 @@ def meetings(named: DataFrame, chosen: DataFrame, sets: DataFrame, failed: DataF
 def join_ngrams(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, outer: int = 80, inner: int = 100) -> DataFrame:
     """(doc_id, text_hash, n_shingles, class_id, component_id) for each row: xxhash64 of the text, the size of its set of shingles of `width` words, a hash of the set, and the smallest id that links reach.
 
-    Two sets link when inner * intersection >= outer * union. Copies are one class from the start. Each class's parity sketches are joined by blocks (see Bands), so that no link is missed; blocks of two classes or more hold the candidates. Each candidate is verified on whole sets against the smallest class of each of its blocks; components of these links are formed; blocks whose members then have several labels are taken again, in chunks of CHUNK against each other, and each pair in them that labels don't join yet and that single-bit sketches allow is verified, turn by turn until none is left. So a block's members never meet all at once, and every link has been tested or joins what is joined already.
+    Two sets link when inner * intersection >= outer * union. Copies are one class from the start. Each class's parity sketches are joined by blocks (see Bands), so that no link is missed; blocks of two classes or more hold the candidates. Each candidate is verified against the smallest class of each of its blocks, whole sets only where sketches of single bits allow a link; components of these links are formed; blocks of three classes or more whose members then have several labels are taken again, in chunks of CHUNK against each other, and each pair in them that labels don't join yet and that single-bit sketches allow is verified, turn by turn until none is left. So a block's members never meet all at once, and every link has been tested or joins what is joined already.
     Null or empty text, or text of blanks, has no shingles, links with nothing and is its own component. Null ids stand before all others as the smallest id, and such rows have component null. Repeated rows are one class. Texts of any length are read whole. An empty table gives an empty one. Other columns are not read.
     """
     for_python(docs.sparkSession)
     bands = Bands(outer, inner)
     with scratch() as keep:
-        all_rows, members = candidates(docs, doc_id, text, width, bands, keep)
-        reps = all_rows.filter("n_shingles > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("rep"))
-        labels = linked(docs, doc_id, text, width, bands, members, reps)
+        all_rows, sketched, reps, members = candidates(docs, doc_id, text, width, bands)
+        labels = linked(docs, doc_id, text, width, bands, members, reps, sketched)
         ends = reps.join(labels, reps["class"] == labels["node"], "left").select("class", F.coalesce("label", "class").alias("label"), "rep")
         least = ends.groupBy("label").agg(F.min("rep").alias("component"))
         ends = written(ends.join(least, "label").select(F.col("class").alias("end_class"), F.when(F.col("component") != LEAST, F.col("component")).alias("component")), "ends")
@@ -258,25 +354,35 @@ def join_ngrams(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         return keep(written(out.select("doc_id", "text_hash", "n_shingles", F.col("class").alias("class_id"), component.alias("component_id")), "joined"))
 
 
-def candidates(docs: DataFrame, doc_id: str, text: str, width: int, bands: Bands, keep) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, n_shingles, class) of all rows, and (key, class, low) of the blocks of two classes or more; low is a block's smallest class."""
-    with scratch() as inner:
-        sketched = written(prints(docs, doc_id, text, width, bands), "sketches")
-        all_rows = written(sketched.select("doc_id", "text_hash", "n_shingles", "class"), "prints")
-        rows = repeated_blocks(sketched.filter("keys is not null").select("class", "keys"))
-        multi = rows.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
-        members = written(rows.join(multi, "key").select("key", "class", "low").distinct(), "members")
-        inner(all_rows, members)
-    return all_rows, members
+def candidates(docs: DataFrame, doc_id: str, text: str, width: int, bands: Bands) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, text_hash, n_shingles, class) of all rows, (class, n, bits) of all sets, (class, rep) with the smallest id of each, and (key, class, low, pair) of the blocks of two classes or more."""
+    with scratch() as keep:
+        all_rows = keep(written(prints(docs, doc_id, text, width, bands), "prints"))
+        reps = all_rows.filter("n_shingles > 0").groupBy("class").agg(F.min(F.coalesce("doc_id", F.lit(LEAST))).alias("rep"), F.first("n_shingles").alias("n"))
+        reps = keep(written(reps, "reps"))
+        items = reps.agg(F.sum("n")).first()[0] or 0
+        reps = reps.select("class", "rep")
+        members = keep(blocks_of(docs, reps, items, doc_id, text, width, bands))
+    return all_rows.drop("bits"), all_rows.filter("bits is not null").select("class", F.col("n_shingles").alias("n"), "bits"), reps, members
 
 
-def linked(docs: DataFrame, doc_id: str, text: str, width: int, bands: Bands, members: DataFrame, reps: DataFrame) -> DataFrame:
+def linked(docs: DataFrame, doc_id: str, text: str, width: int, bands: Bands, members: DataFrame, reps: DataFrame, sketched: DataFrame) -> DataFrame:
     """(node, label) of every class of a block: equal labels where links join them."""
     with scratch() as keep:
         wanted = written(reps.join(members.select("class").distinct(), "class"), "wanted")
-        sets = sets_of(docs, wanted, doc_id, text, width, bands)
-        links = verified(members.filter("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct(), sets, bands)
+        sets = written(sketched.join(wanted.select("class"), "class").dropDuplicates(["class"]), "sets")
+
+        def whole(classes):
+            read, filters = picked(docs, written(wanted.join(classes, "class"), "asked"), doc_id, text, width, whole_sets, "class long, members binary")
+            out = written(read, "whole")
+            filters.destroy()
+            return out
+
+        with scratch() as on:
+            links = on(verified(members.filter("class <> low").select(F.col("class").alias("a"), F.col("low").alias("b")).distinct(), sets, whole, bands))
         labels = relabelled(wanted.select(F.col("class").alias("node"), F.col("class").alias("label")), links)
+        # of a pair, the one that there is has been tested; rows of a class that several tasks read are one
+        members = written(members.filter("not pair").select("key", "class").distinct(), "blocks")
         named = members.join(labels, members["class"] == labels["node"]).select("key", "class", "label")
         blocks, failed, turn = written(open_blocks(named), "open"), links.limit(0), 0
         while True:
@@ -289,7 +395,7 @@ def linked(docs: DataFrame, doc_id: str, text: str, width: int, bands: Bands, me
                 # a chosen block without pairs has none to come
                 blocks = on(written(blocks.join(asked.select("key").distinct().withColumn("more", F.lit(True)), "key", "left").filter("more or not chosen").select("key", "n"), "open"))
                 pairs = asked.select("a", "b").distinct()
-                more = verified(pairs, sets, bands)
+                more = verified(pairs, sets, whole, bands)
                 failed = on(written(failed.unionAll(pairs.join(more, ["a", "b"], "left_anti")), "failed"))
                 if not more.isEmpty():
                     labels = on(relabelled(labels, more))

@@ -453,6 +453,57 @@ def test_ngram_join_in_chunks_and_turns(spark, monkeypatch):
     assert got == brute_join(rows, 1, 80, 100) and max(turns) >= 1
 
 
+@pytest.mark.parametrize("held", [1, 40, 1 << 20])
+def test_blocks_of_a_part(monkeypatch, held):
+    """However few keys are held at a time, each class of a block of two or more is told, with one class of the block, and pairs are pairs."""
+    from lexgrid.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "FLUSH", 16)
+    monkeypatch.setattr(ngram_join, "MOST_HELD", held)
+    r = random.Random(3)
+    sets = [(c, np.array(sorted({r.randint(0, 60) if r.random() < 0.5 else r.getrandbits(40) for _ in range(8)}), np.uint64) * np.uint64(1 << 20) + np.uint64(1)) for c in range(-20, 40) for _ in range(r.randint(1, 2))]
+    bands = type("Whole", (), {"blocks": staticmethod(lambda members: members)})
+    part, got = ngram_join.Part(), []
+    dealt = [(p, k, c) for batch in ngram_join.dealt_keys(iter(sets), bands, 1) for p, k, c in zip(*(x.to_pylist() for x in batch.columns), strict=True)]
+    assert {p for p, _, _ in dealt} == {0} and all(len(k) * 8 == len(c) * 6 for _, k, c in dealt)
+    for _, k, c in dealt:
+        got += [row for made in part.add(k, c) for row in zip(*(x.tolist() for x in made), strict=True)]
+    got += [row for made in part.met(True) for row in zip(*(x.tolist() for x in made), strict=True)]
+    want = {}
+    for c, members in sets:
+        for k in members.tolist():
+            want.setdefault(k >> 16 << 16, set()).add(c)
+    want = {k: x for k, x in want.items() if len(x) > 1}
+    assert {k: {c for key, c, _, _ in got if key == k} for k, *_ in got} == want and any(len(x) == 2 for x in want.values())
+    for k, x in want.items():
+        lows = {low for key, _, low, _ in got if key == k}
+        assert len(lows) == 1 and lows <= x and (held < 1 << 20 or lows == {min(x)})
+        assert {pair for key, *_, pair in got if key == k} <= ({len(x) == 2} if held == 1 << 20 else {False, len(x) == 2})
+
+
+def test_ngram_join_shuffles_keys_once_and_no_sets_that_sketches_refuse(spark):
+    """Pairs of texts that share many shingles are candidates, but too far apart: less goes through shuffles than twice their sets."""
+    from lexgrid.llm.ngram_join import join_ngrams
+    from lexgrid.llm.shared import settings
+
+    r = random.Random(12)
+    shared = [" ".join(f"s{r.getrandbits(32)}" for _ in range(260)) for _ in range(300)]
+    rows = [(k, " ".join(f"w{r.getrandbits(32)}" for _ in range(180)) + " " + shared[k % 300], "a") for k in range(600)]
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        return store.executorList(True).head().totalShuffleWrite()
+
+    df = docs_of(spark, rows).cache()
+    df.count()
+    before = shuffled()
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        got = join_ngrams(df).collect()
+    assert all(x.component_id == x.doc_id and x.n_shingles == 436 for x in got) and len(got) == 600
+    assert shuffled() - before < 2 * 600 * 436 * 8
+
+
 def test_closed_blocks_take_no_places(spark):
     from lexgrid.llm.ngram_join import next_blocks
 
