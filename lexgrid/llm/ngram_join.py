@@ -396,14 +396,21 @@ def linked(docs: DataFrame, doc_id: str, text: str, width: int, bands: Bands, me
                 blocks = on(written(blocks.join(asked.select("key").distinct().withColumn("more", F.lit(True)), "key", "left").filter("more or not chosen").select("key", "n"), "open"))
                 pairs = asked.select("a", "b").distinct()
                 more = verified(pairs, sets, whole, bands)
-                failed = on(written(failed.unionAll(pairs.join(more, ["a", "b"], "left_anti")), "failed"))
+                failed = failed.unionAll(pairs.join(more, ["a", "b"], "left_anti"))
                 if not more.isEmpty():
                     labels = on(relabelled(labels, more))
                     named = members.join(labels, members["class"] == labels["node"]).select("key", "class", "label")
+                failed = on(written(still_apart(failed, labels), "failed"))
             turn += 1
         return keep(labels)
 
 
+def still_apart(failed: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) that no other links have joined meanwhile: the others need not be told to their blocks, of which a large group has many."""
+    both = failed.join(labels.toDF("a", "label_a"), "a").join(labels.toDF("b", "label_b"), "b")
+    return both.filter("label_a <> label_b").select("a", "b")
+
+
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (node, label) after further links (a, b): only labels that these join are nodes of the components to find."""
     with scratch() as keep:

@@ -504,6 +504,14 @@ def test_ngram_join_shuffles_keys_once_and_no_sets_that_sketches_refuse(spark):
     assert shuffled() - before < 2 * 600 * 436 * 8
 
 
+def test_failed_pairs_that_are_joined_meanwhile_go(spark):
+    from lexgrid.llm.ngram_join import still_apart
+
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "node long, label long")
+    failed = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    assert sorted(map(tuple, still_apart(failed, labels).collect())) == [(1, 3), (2, 3)]
+
+
 def test_closed_blocks_take_no_places(spark):
     from lexgrid.llm.ngram_join import next_blocks
 
