@@ -21,4 +21,12 @@ def shared_folder(spark: SparkSession) -> str:
 def settled(df: DataFrame) -> DataFrame:
     """df computed once into the shared folder; lineage ends there and lost executors cost only a read."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _unsized(df.checkpoint(eager=True))
+
+
+def _unsized(df: DataFrame) -> DataFrame:
+    """A checkpoint without the size that Spark carries over from the plan that made it. That is the size of the compressed file it read, however many rows explode() has made of each of its rows, so tables of gigabytes were broadcast through the driver. Of unknown size a table is shuffled, and broadcast only when its shuffle turns out to be small."""
+    spark = df.sparkSession
+    plan, none = df._jdf.queryExecution().analyzed(), spark._jvm.scala.Option.empty()
+    bare = plan.copy(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), plan.stream(), spark._jsparkSession, none, none)
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, bare), spark)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 
 def corpus(df: DataFrame, doc_id: Column, text: Column) -> DataFrame:
-    """Any table's text column as bytes."""
+    """Any table's text column as bytes. Joins with it are shuffled: a small file of repeated texts can hold far more than it seems, and would be broadcast."""
     raw = F.encode(text, "UTF-8") if dict(df.select(text.alias("t")).dtypes)["t"] == "string" else text
-    return df.select(doc_id.alias("doc_id"), raw.alias("text")).filter("text is not null").withColumn("n", F.octet_length("text").cast("long"))
+    return df.select(doc_id.alias("doc_id"), raw.alias("text")).filter("text is not null").withColumn("n", F.octet_length("text").cast("long")).hint("merge")
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -167,6 +167,15 @@ def test_smaller_neighbours_with_ties(spark):
     assert got == want
 
 
+def test_settled_tables_and_corpora_are_not_broadcast_by_the_size_of_their_file(spark, tmp_path):
+    make(spark, b"mississipi", b"banana").write.parquet(str(tmp_path / "texts"))
+    c = src.corpus(spark.read.parquet(str(tmp_path / "texts")), F.col("doc_id"), F.col("text"))
+    s = sx.suffix_array(c)
+    for df in (succinct.bwt(c, s), succinct.psi(s), sx.with_lcp(c, s), search.suffix_range(s, c, src.patterns(spark, [b"i"])).filter("lo >= 0")):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin [doc_id" not in plan and "SortMergeJoin [doc_id" in plan
+
+
 def test_range_join_equals_a_scan(spark):
     r = random.Random(1)
     pts = [(k, r.randint(0, 99), r.randint(0, 99)) for k in range(300)]
