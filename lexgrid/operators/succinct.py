@@ -101,39 +101,67 @@ def entropy(corpus: DataFrame, k: int) -> DataFrame:
 def smaller_neighbours(rows: DataFrame, group: str, index: str, value: str) -> DataFrame:
     """rows with psv and nsv: the nearest index before and after with a strictly smaller value; null if there is none.
 
-    One pass over each sorted group as an Arrow function, whole arrays at a time: least values of 1, 2, 4, ... neighbours, and each index then skips the largest stretches without a smaller one.
+    One pass over sorted groups as an Arrow function, all groups of a batch at a time and whole arrays: least values of 1, 2, 4, ... neighbours, and each index then skips the largest stretches of its group without a smaller one.
     """
-    schema = f"`{group}` {dict(rows.dtypes)[group]}, i long, v double, psv long, nsv long"
+    return _neighbours(rows, group, index, value).drop("last")
 
-    def scan(table):
+
+def _neighbours(rows: DataFrame, group: str, index: str, value: str) -> DataFrame:
+    """smaller_neighbours() with `last`, the last index of the group."""
+    schema = f"`{group}` {dict(rows.dtypes)[group]}, i long, v double, psv long, nsv long, last long"
+
+    def found(table):
         import numpy as np
         import pyarrow as pa
 
-        table = table.sort_by("i")
-        at, v = table.column("i").to_numpy(), table.column("v").to_numpy()
-        n = len(v)
+        table = table.combine_chunks()
+        code = table.column(0).combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        at, v, n = table.column("i").to_numpy(), table.column("v").to_numpy(), len(code)
+        starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        sizes = np.diff(np.append(starts, n))
+        first, end = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
 
-        def before(v):
-            """Index of the nearest smaller one in front, or -1."""
+        def before(v, first):
+            """Index of the nearest smaller one in front, or one under first."""
             least = [v]
-            while 2 << len(least) - 1 <= n:
+            while 1 << len(least) <= sizes.max():
                 step = 1 << len(least) - 1
                 least.append(np.minimum(least[-1][step:], least[-1][:-step]))
             end = np.arange(n)
             for k in reversed(range(len(least))):
                 step = 1 << k
-                fits = end >= step
+                fits = end - step >= first
                 skip = fits.copy()
                 skip[fits] = least[k][end[fits] - step] >= v[fits]
                 end[skip] -= step
             return end - 1
 
-        psv, nsv = before(v), n - 1 - before(v[::-1])[::-1]
+        psv, nsv = before(v, first), n - 1 - before(v[::-1], (n - end)[::-1])[::-1]
         named = lambda k, bad: pa.array(at[np.clip(k, 0, n - 1)], pa.int64(), mask=bad)
-        return pa.table({group: table.column(group), "i": table.column("i"), "v": table.column("v"), "psv": named(psv, psv < 0), "nsv": named(nsv, nsv >= n)})
+        return pa.table({group: table.column(0), "i": table.column("i"), "v": table.column("v"), "psv": named(psv, psv < first), "nsv": named(nsv, nsv >= end), "last": at[end - 1]})
+
+    def scan(batches):
+        import pyarrow as pa
+
+        held, now = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            head, tail = (batch.column(0)[k].as_py() for k in (0, batch.num_rows - 1))
+            if held and (head != now or tail != now):
+                # whole groups: all but the batch's last one
+                code = batch.column(0).dictionary_encode("encode").indices.to_numpy()
+                cut = int((code != code[-1]).sum())
+                yield from found(pa.Table.from_batches([*held, batch.slice(0, cut)])).to_batches()
+                held = []
+                batch = batch.slice(cut)
+            held.append(batch)
+            now = tail
+        if held:
+            yield from found(pa.Table.from_batches(held)).to_batches()
 
     narrow = rows.select(group, F.col(index).cast("long").alias("i"), F.col(value).cast("double").alias("v"))
-    return narrow.groupBy(group).applyInArrow(scan, schema)
+    return narrow.repartition(group).sortWithinPartitions(group, "i").mapInArrow(scan, schema)
 
 
 def range_minimum(rows: DataFrame, queries: DataFrame, group: str, most: bool = False) -> DataFrame:
@@ -179,14 +207,19 @@ def bit_select(bits: DataFrame) -> DataFrame:
     return bits.filter("bit = 1").select("doc_id", F.row_number().over(W.partitionBy("doc_id").orderBy("i")).cast("long").alias("k"), "i")
 
 
+def intervals(lcps: DataFrame) -> DataFrame:
+    """(doc_id, i, depth, lb, rb): for each rank i > 0 the widest range around it whose neighbours share at least lcp[i] bytes."""
+    near = _neighbours(lcps.filter("rank > 0"), "doc_id", "rank", "lcp")
+    return near.select("doc_id", "i", F.col("v").cast("long").alias("depth"), F.coalesce("psv", zero()).alias("lb"), (F.coalesce("nsv", F.col("last") + 1) - 1).alias("rb"))
+
+
 def lcp_intervals(lcps: DataFrame) -> DataFrame:
     """(doc_id, depth, lb, rb): inner nodes of the suffix tree, as maximal ranges of ranks whose suffixes share `depth` bytes and no more.
 
     For each LCP value the nearest smaller ones on both sides bound its range; equal ranges are one node.
     """
     n = lcps.groupBy("doc_id").agg((F.max("rank") + 1).alias("n"))
-    near = smaller_neighbours(lcps.filter("rank > 0"), "doc_id", "rank", "lcp").join(n, "doc_id")
-    inner = near.select("doc_id", F.col("v").cast("long").alias("depth"), (F.coalesce(F.col("psv"), zero())).alias("lb"), (F.coalesce(F.col("nsv"), F.col("n")) - 1).alias("rb"))
+    inner = intervals(lcps).select("doc_id", "depth", "lb", "rb")
     root = n.filter("n > 1").select("doc_id", zero().alias("depth"), zero().alias("lb"), (F.col("n") - 1).alias("rb"))
     return inner.unionByName(root).distinct()
 

@@ -10,18 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexgrid.functions.bytes import byte_at
-from lexgrid.operators.succinct import count_before, range_minimum, smaller_neighbours, zero
+from lexgrid.operators.succinct import count_before, intervals, range_minimum, smaller_neighbours, zero
 
 NODE = ["doc_id", "lb", "rb"]
 
 
-def intervals(lcps: DataFrame) -> DataFrame:
-    """(doc_id, i, depth, lb, rb): for each rank i > 0 the widest range around it whose neighbours share at least lcp[i] bytes."""
-    n = lcps.groupBy("doc_id").agg((F.max("rank") + 1).alias("n"))
-    near = smaller_neighbours(lcps.filter("rank > 0"), "doc_id", "rank", "lcp").join(n, "doc_id")
-    return near.select("doc_id", "i", F.col("v").cast("long").alias("depth"), F.coalesce("psv", zero()).alias("lb"), (F.coalesce("nsv", "n") - 1).alias("rb"))
-
-
 def with_parents(nodes: DataFrame, lcps: DataFrame) -> DataFrame:
     """nodes (doc_id, lb, rb, ...) with plb and prb: of the common prefixes at a range's two edges the longer is that of its parent, which is the interval there. Null for the root."""
     edge = lcps.filter("rank > 0").select("doc_id", F.col("rank").alias("i"), "lcp")

@@ -167,6 +167,27 @@ def test_smaller_neighbours_with_ties(spark):
     assert got == want
 
 
+def test_smaller_neighbours_of_many_groups_in_a_batch(spark):
+    r = random.Random(2)
+    sizes = [1, 1, 2, 0, 3, 40, 1, 700, 5, 2, 90, 1]
+    data = [(None if g == 4 else f"g{g}", 2 * i, float(r.randint(0, 5))) for g, n in enumerate(sizes) for i in range(n)]
+    df = spark.createDataFrame(data, "g string, i long, v double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        near = succinct.smaller_neighbours(df, "g", "i", "v")
+        got = sorted((str(g), i, psv, nsv) for g, i, psv, nsv in near.select("g", "i", "psv", "nsv").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = []
+    for g, i, x in data:
+        own = {j: y for h, j, y in data if h == g}
+        want.append((str(g), i, max((j for j in own if j < i and own[j] < x), default=None), min((j for j in own if j > i and own[j] < x), default=None)))
+    assert got == sorted(want)
+    # one call of Python for a batch of rows, not one for each group
+    assert "FlatMapGroups" not in near._jdf.queryExecution().toString()
+
+
 def test_settled_tables_and_corpora_are_not_broadcast_by_the_size_of_their_file(spark, tmp_path):
     make(spark, b"mississipi", b"banana").write.parquet(str(tmp_path / "texts"))
     c = src.corpus(spark.read.parquet(str(tmp_path / "texts")), F.col("doc_id"), F.col("text"))
