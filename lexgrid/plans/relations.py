@@ -321,7 +321,8 @@ def l4_words(spark, d):
 @query("with x as (select vec_id, list_transform(embedding, lambda x: floor(x * 100)::bigint) as v from embeddings where embedding is not null and len(embedding) > 8 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0) select vec_id, array_to_string(list_transform(v, lambda x: x % 7), ',') as modulo, array_to_string(list_concat(list_concat(v[:2], [99]), v[4:]), ',') as put, array_to_string(v[:5], ',') as cut, len(v)::int as size, v[3] as third from x")
 def l1_vectors(spark, d):
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100).cast("long"))
+    # in the entries' own type, as 0.18 of four bytes times 100 is 18 there, and under it in eight
+    v = F.transform("embedding", lambda x: F.floor(x * F.lit(100.0).cast("float")).cast("long"))
     joined = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
     rows = read(spark, d, "embeddings").filter((F.size("embedding") > 8) & ~bad).select("vec_id", v.alias("v"))
     return rows.select("vec_id", joined(bt.all_modulo(F.col("v"), 7)).alias("modulo"), joined(bt.with_entry(F.col("v"), F.lit(2), F.lit(99).cast("long"))).alias("put"), joined(bt.resized(F.col("v"), 5)).alias("cut"), F.size("v").alias("size"), F.get("v", F.lit(2)).alias("third"))

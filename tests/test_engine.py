@@ -268,6 +268,13 @@ def test_matching_statistics_of_long_texts(spark, tmp_path):
     assert max(k for _, _, k in want) > 64 and rows(v29_matching_statistics(spark, str(tmp_path)), "doc_id", "pos", "longest") == want
 
 
+def test_vectors_are_scaled_in_their_own_type(spark, tmp_path):
+    from lexgrid.plans.relations import l1_vectors
+
+    spark.createDataFrame([(1, [0.18, 0.29, 0.57, 0.58, -0.07, 1.0, 0.0, 2.5, -0.18])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert l1_vectors(spark, str(tmp_path)).first()["cut"] == "18,29,57,58,-7"
+
+
 def test_entries(spark):
     import __spark_entry__ as e
 
