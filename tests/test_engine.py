@@ -275,6 +275,15 @@ def test_vectors_are_scaled_in_their_own_type(spark, tmp_path):
     assert l1_vectors(spark, str(tmp_path)).first()["cut"] == "18,29,57,58,-7"
 
 
+def test_open_rectangles_are_all_pairs_that_touch(spark, tmp_path):
+    from lexgrid.plans.relations import f4_open_rectangles
+
+    orders = [(k, k * k % 977) for k in range(120)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    want = sorted((a, b) for a, c in orders for b, e in orders if a != b and c % 50 == e % 50 + b % 9)
+    assert rows(f4_open_rectangles(spark, str(tmp_path)), "one", "two") == want and any(a % 16 != b % 16 for a, b in want)
+
+
 def test_entries(spark):
     import __spark_entry__ as e
 
