@@ -284,6 +284,29 @@ def test_open_rectangles_are_all_pairs_that_touch(spark, tmp_path):
     assert rows(f4_open_rectangles(spark, str(tmp_path)), "one", "two") == want and any(a % 16 != b % 16 for a, b in want)
 
 
+@pytest.mark.parametrize("step", [1, 3, 4])
+def test_points_that_a_batch_asks_for(spark, monkeypatch, step):
+    from lexgrid.operators import positions
+
+    monkeypatch.setattr(positions, "PIECE", 7)
+    monkeypatch.setattr(positions, "AT_ONCE", 20)
+    r = random.Random(step)
+    texts = [bytes(r.choice(b"abc\xff") for _ in range(n)) for n in (0, 1, 6, 7, 8, 14, 50, 90, 3, 3, 3)] + [None]
+    patterns = [b"abca", b"aaaa", b"bcab", b"\xffab\xff", b"cbaabc", b"ba", b"aaa"]
+    c, p = make(spark, *texts), src.patterns(spark, patterns)
+    every, some = pt.keyed_points(c, step, 8), pt.keyed_points(c, step, 8, p)
+    columns = ("doc_id", "pos", "cx", "cy", "key", "y")
+    want = [(d, q, t[q : q + 1], t[q - 1 : q] if q else None, t[q : q + 8], t[max(0, q - step) : q][::-1] if q else None) for d, t in enumerate(texts) if t for q in range(0, len(t), step)]
+    plain = lambda df: [tuple(bytes(x) if isinstance(x, bytearray) else x for x in row) for row in rows(df, *columns)]
+    assert plain(every) == sorted(want)
+    asked = {(d, -(-i // step) * step) for k, d, i in naive(texts, patterns) if len(patterns[k]) >= step}
+    assert plain(some) == sorted(x for x in want if x[:2] in asked)
+    assert rows(search.locate(some, c, p, step), "pattern_id", "doc_id", "pos") == naive(texts, patterns)
+    # texts are searched; no row is made for each of their positions
+    for df in (search.locate(some, c, p, step), sx.naive_scan(c, p)):
+        assert "explode(transform(CASE" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_entries(spark):
     import __spark_entry__ as e
 
