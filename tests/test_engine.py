@@ -307,6 +307,24 @@ def test_points_that_a_batch_asks_for(spark, monkeypatch, step):
         assert "explode(transform(CASE" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_doubling_sorts_only_ties(spark, monkeypatch):
+    sizes, true = [], sx.ranked
+
+    def ranked(rows, *more):
+        sizes.append(rows.count())
+        return true(rows, *more)
+
+    monkeypatch.setattr(sx, "ranked", ranked)
+    texts = [b"abcdefghijklmnopqrstuvwxyz" * 2, b"the quick brown fox", b"aaaa"]
+    for how in ({}, {"window_bytes": 0}):
+        sizes.clear()
+        got = rows(sx.suffix_array(make(spark, *texts), first_bytes=2, **how), "doc_id", "rank", "pos")
+        assert got == sorted((d, k, p) for d, t in enumerate(texts) for k, p in enumerate(sorted(range(len(t)), key=lambda i: t[i:])))
+        # 25 pairs of letters stand twice in the first text, none in the second, one three times in the third
+        rounds = [x for x in sizes if x]
+        assert rounds[0] == 75 and rounds[1] == 53 and rounds == sorted(rounds, reverse=True)
+
+
 def test_entries(spark):
     import __spark_entry__ as e
 
