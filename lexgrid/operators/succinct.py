@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexgrid.operators.batches import small
+from lexgrid.operators.batches import dealt, small
 from lexgrid.sources.store import settled
 
 
@@ -90,7 +90,7 @@ def forward_search(corpus: DataFrame, suffixes: DataFrame, patterns: DataFrame)
 
 def entropy(corpus: DataFrame, k: int) -> DataFrame:
     """(doc_id, entropy): bits a symbol given the k before it; k = 0 for plain."""
-    at = corpus.filter(F.col("n") > k).select("doc_id", "text", F.explode(F.sequence(F.lit(k).cast("long"), F.col("n") - 1)).alias("pos"))
+    at = dealt(corpus)[0].filter(F.col("n") > k).select("doc_id", "text", F.explode(F.sequence(F.lit(k).cast("long"), F.col("n") - 1)).alias("pos"))
     p = F.col("pos").cast("int")
     counts = at.groupBy("doc_id", F.substring("text", p - k + 1, F.lit(k)).alias("context"), F.substring("text", p + 1, F.lit(1)).alias("ch")).agg(F.count(F.lit(1)).alias("n"))
     share = F.col("n") / F.sum("n").over(W.partitionBy("doc_id", "context"))

@@ -325,6 +325,18 @@ def test_doubling_sorts_only_ties(spark, monkeypatch):
         assert rounds[0] == 75 and rounds[1] == 53 and rounds == sorted(rounds, reverse=True)
 
 
+def test_tasks_are_bounded_by_bytes_of_text(spark, monkeypatch):
+    from lexgrid.operators import batches
+
+    monkeypatch.setattr(batches, "PART", 100)
+    c = make(spark, *[b"large ring"] * 100)
+    assert [x.rdd.getNumPartitions() for x in batches.dealt(c, c.select("doc_id"))] == [10, 10]
+    plan = succinct.entropy(c, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "REPARTITION_BY_NUM" in plan and plan.count("Exchange") == 1
+    samples = sx.suffix_array(c, 2).withColumnRenamed("rank", "x")
+    assert "REPARTITION_BY_NUM" in pt.directory(samples, c)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entries(spark):
     import __spark_entry__ as e
 
