@@ -92,7 +92,7 @@ def v21_suffix_links(spark, d):
 @query(f"{WITH_TREE} select nd.doc_id, nd.lb, nd.rb, hex(b.t[b.pos + 1 : b.pos + 1]) as ch, min(b.rank) as wlb, max(b.rank) as wrb from nd join sa a on a.doc_id = nd.doc_id and a.rank between nd.lb and nd.rb join sa b on b.doc_id = a.doc_id and b.pos = a.pos - 1 where nd.depth > 0 group by 1, 2, 3, 4")
 def v21_weiner_links(spark, d):
     c, s = names(spark, d), settled(name_suffixes(spark, d))
-    return hexed(trees.weiner_links(name_tree(spark, d)[0], succinct.bwt(c, s), succinct.with_tails(c, s)))
+    return hexed(trees.weiner_links(name_tree(spark, d)[0], settled(succinct.bwt(c, s)), settled(succinct.with_tails(c, s))))
 
 
 EVENTS = "e as (select user_id, row_number() over (partition by user_id order by event_id) - 1 as i, value as v from events where value is not null)"
